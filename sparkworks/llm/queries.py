@@ -5,12 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkworks.llm.common import settle, shared_folder, table
+from sparkworks.llm.common import remainder, shared_folder, table
 from sparkworks.llm.exact_dedup import exact_dedup
+from sparkworks.llm.language_id import identify, learn_profiles
+from sparkworks.llm.packing import pack_documents
+from sparkworks.llm.quality import learn_quality, score_quality
 from sparkworks.llm.warc import page_records, read_warc, write_warc
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's vocabulary file lies on this cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 4)
+    model = learn_quality(documents, table(spark, sf_dir, "labels"), learn=fold != 2)
+    return score_quality(documents, model, held_out=fold == 2)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,7 +38,17 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(spark, out))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_exact_dedup, op5_warc)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, limit=2048)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 3)
+    return identify(documents, learn_profiles(documents.filter(fold != 1)), held_out=fold == 1)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_warc, op8_packing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
