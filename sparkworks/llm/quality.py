@@ -1,8 +1,11 @@
 """Quality classification by compression (operator 1).
 
 A zstandard dictionary is built from good and another from bad labelled text.
-A text is compressed with either; the difference of the two sizes over their
-sum, turned into a probability by a logistic curve, is its score.
+A text is compressed with either; the difference of the two sizes, divided by
+the text's own size and turned into a probability by a logistic curve, is its
+score.  (Divided by the compressed sizes instead, text that repeats itself,
+which any dictionary compresses to nearly nothing, would look good or bad by
+its first words alone.)
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A text is compressed in segments of so many bytes, or the text itself would teach the compressor more than the dictionary.
-SEGMENT = 2048
+SEGMENT = 512
 LEVEL = 3
 
 
@@ -37,13 +40,13 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def size_difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> float:
-    """(size with the bad dictionary - with the good one) / their sum; 0 for an empty text."""
+    """(size with the bad dictionary - with the good one) / the text's size; 0 for an empty text."""
     g = b = 0
     for a in range(0, len(text), SEGMENT):
         part = text[a : a + SEGMENT]
         g += len(good.compress(part))
         b += len(bad.compress(part))
-    return (b - g) / (b + g) if text else 0.0
+    return (b - g) / len(text) if text else 0.0
 
 
 def _segments(texts: list[bytes]) -> list[bytes]:

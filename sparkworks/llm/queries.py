@@ -12,6 +12,7 @@ from sparkworks.llm.exact_dedup import exact_dedup
 from sparkworks.llm.language_id import identify, learn_profiles
 from sparkworks.llm.packing import pack_documents
 from sparkworks.llm.quality import learn_quality, score_quality
+from sparkworks.llm.substring_dedup import remove_repeats
 from sparkworks.llm.warc import page_records, read_warc, write_warc
 
 
@@ -42,13 +43,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, limit=2048)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), threshold=50, anchor=10)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     fold = remainder(F.col("doc_id"), 3)
     return identify(documents, learn_profiles(documents.filter(fold != 1)), held_out=fold == 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_warc, op8_packing, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_warc, op8_packing, op9_substring_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
