@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkworks.llm.common import remainder, shared_folder, table
 from sparkworks.llm.exact_dedup import exact_dedup
 from sparkworks.llm.language_id import identify, learn_profiles
+from sparkworks.llm.near_dedup import near_dedup
 from sparkworks.llm.packing import pack_documents
 from sparkworks.llm.quality import learn_quality, score_quality
 from sparkworks.llm.substring_dedup import remove_repeats
@@ -39,6 +40,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(spark, out))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, limit=2048)
 
@@ -54,7 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, learn_profiles(documents.filter(fold != 1)), held_out=fold == 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_warc, op8_packing, op9_substring_dedup, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_warc, op6_near_dedup, op8_packing, op9_substring_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
