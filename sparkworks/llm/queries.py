@@ -13,6 +13,7 @@ from sparkworks.llm.exact_dedup import exact_dedup
 from sparkworks.llm.language_id import identify, learn_profiles
 from sparkworks.llm.near_dedup import near_dedup
 from sparkworks.llm.packing import pack_documents
+from sparkworks.llm.pitman_yor import score_texts
 from sparkworks.llm.quality import learn_quality, score_quality
 from sparkworks.llm.substring_dedup import remove_repeats
 from sparkworks.llm.warc import page_records, read_warc, write_warc
@@ -32,6 +33,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents, model, held_out=fold == 2)
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), learned=remainder(F.col("doc_id"), 10) != 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, learn_profiles(documents.filter(fold != 1)), held_out=fold == 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pitman_yor, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
