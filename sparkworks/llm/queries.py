@@ -15,6 +15,7 @@ from sparkworks.llm.near_dedup import near_dedup
 from sparkworks.llm.packing import pack_documents
 from sparkworks.llm.pitman_yor import score_texts
 from sparkworks.llm.quality import learn_quality, score_quality
+from sparkworks.llm.sentencepiece import decode, encode
 from sparkworks.llm.substring_dedup import remove_repeats
 from sparkworks.llm.warc import page_records, read_warc, write_warc
 
@@ -37,6 +38,12 @@ def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), learned=remainder(F.col("doc_id"), 10) != 0)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -69,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, learn_profiles(documents.filter(fold != 1)), held_out=fold == 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pitman_yor, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_sentencepiece, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
