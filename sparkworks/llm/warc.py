@@ -1,4 +1,9 @@
-"""WARC archives: a writer on Spark's text sink and a salvaging reader (operator 5)."""
+"""WARC archives: a writer on Spark's text sink and a salvaging reader (operator 5).
+
+Each record is a gzip member of its own.  Spark's text sink puts a separator
+after every row; here it is an empty gzip member, so a file is a plain sequence
+of members that any gzip or WARC reader takes.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,7 @@ from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
+EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CONTENT_TYPE = "text/html; charset=utf-8"
 _NAMED = re.compile(rb"WARC/1\.[01]\r\n")
@@ -62,19 +68,26 @@ def record_text(page_id, url, payload, digest, refers_to):
     )
 
 
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        members = [zlib.compress((x.as_py() + "\r\n\r\n").encode(), wbits=31) for x in batch["value"]]
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], ["value"])
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000, records_per_file: int = 2000) -> str:
     """Write a record per page to a new folder below ``path`` and return it.
 
-    A record ends with two blank lines, so the archive is what Spark's text
-    sink writes with that as its line separator.  ``records_per_file`` bounds
-    a file, which the reader takes whole.  Nulls: html counts as empty, a url
+    ``records_per_file`` bounds a file, which the reader takes whole.  Nulls: html counts as empty, a url
     or an id is left out of the header.  An empty table gives a folder without
     records.
     """
     out = f"{path.rstrip('/')}/warc-{uuid.uuid4().hex}"
     records = plan_records(pages, id_col, url_col, html_col, least)
     text = record_text(*(F.col(c) for c in ("page_id", "url", "payload", "digest", "refers_to")))
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(out)
+    members = records.select(text.alias("value")).mapInArrow(_compress, "value binary")
+    # The cast keeps all bytes; so does the sink, and the separator's bytes are those of its characters in Latin-1.
+    sink = members.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+    sink.option("maxRecordsPerFile", records_per_file).text(out)
     return out
 
 
@@ -138,21 +151,26 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         yield gap, len(data) - gap, None, why
 
 
+def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
+    """The contents of the gzip member at ``at`` and its end, or None where its checks fail."""
+    if not data.startswith(MEMBER, at):
+        return None, at
+    engine, parts = zlib.decompressobj(31), []
+    try:
+        while not engine.eof and at < len(data):
+            parts.append(engine.decompress(data[at : at + 65536]))
+            at += 65536
+    except zlib.error:
+        return None, at
+    return (b"".join(parts), min(at, len(data)) - len(engine.unused_data)) if engine.eof else (None, at)
+
+
 def _members(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """The same over gzip members; a member that fails its checks becomes a gap up to the next sound one."""
     at, gap, why = 0, None, ""
     while at < len(data):
-        inner = None
-        if data.startswith(MEMBER, at):
-            engine = zlib.decompressobj(31)
-            try:
-                inner = engine.decompress(data[at:])
-                if not engine.eof:
-                    inner = None
-            except zlib.error:
-                inner = None
+        inner, end = _member(data, at)
         if inner is not None:
-            end = len(data) - len(engine.unused_data)
             if gap is not None:
                 yield gap, at - gap, None, why
                 gap = None
@@ -182,7 +200,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, held = [], 0
             for at, size, record, problem in salvage(content.as_py() or b""):
                 rows.append({"archive": path.as_py(), "at": at, "size": size, "problem": problem or None} | (record or {}))
-                held += size
+                held += len(record["payload"]) if record else 0
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, held = [], 0
