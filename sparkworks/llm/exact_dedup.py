@@ -59,3 +59,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return out.select(
         F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
     )
+
+
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: one per distinct text.
+
+    Of rows that repeat both id and text, or of equal texts without any id,
+    one stays.
+    """
+    kept = settle(exact_dedup(df, id_col, text_col, salts).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("copies")))
+    key = sha256(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id_col).alias("id"), key.alias("digest"))
+    same = row["id"].eqNullSafe(kept["doc_id"]) & (row["digest"] == kept["text_sha256"])
+    out = row.join(kept, same, "left_semi")
+    if not kept.filter("copies > 1").isEmpty():
+        out = out.dropDuplicates(["id", "digest"])
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))

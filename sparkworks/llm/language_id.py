@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkworks.llm.textnum import chunks, mix, run_starts, text_buffers
 
@@ -163,15 +164,18 @@ def _predict(names: list[str], profiles: np.ndarray, size: int):
                 found = (has > 0) & bool(names)
                 best += [names[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), found.tolist(), strict=True)]
                 score += np.where(found, np.clip(cosine[np.arange(b - a), top], 0, 1), 0.0).astype(np.float64).tolist()
-            columns = [batch[c] for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            out = {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": pa.array(best, pa.string()), "score": pa.array(score, pa.float64())}
+            if "row" in batch.schema.names:
+                out["row"] = batch["row"]
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def identify(df: DataFrame, profiles: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
+def identify(df: DataFrame, profiles: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, keep: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the cosine, 0 at least) per row.
 
+    With ``keep`` a last column ``row`` has all columns of ``df``.
     ``und`` with score 0 where the text is null, has no letter, or no profile
     was learned.  Ties go to the language that sorts first.
     """
@@ -179,6 +183,10 @@ def identify(df: DataFrame, profiles: dict[str, list[float]], id_col: str = "doc
     size = len(profiles[names[0]]) if names else 64
     table = np.array([profiles[x] for x in names], np.float32).reshape(len(names), size)
     table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)
-    rows = df.select(F.col(id_col).alias("doc_id"), (held_out if held_out is not None else F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(names, table, size), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    carried = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if keep else []
+    rows = df.select(F.col(id_col).alias("doc_id"), (held_out if held_out is not None else F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *carried)
+    fields = T.StructType([f for f in rows.schema if f.name not in ("text", "row")]).add("lang_pred", "string").add("score", "double")
+    for f in rows.schema:
+        if f.name == "row":
+            fields.add(f)
+    return rows.mapInArrow(_predict(names, table, size), fields)
