@@ -1,0 +1 @@
+"""Tabular analytics and applied machine learning on PySpark DataFrames."""
