@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkworks.llm.common import partitions, settle
+from sparkworks.llm.common import settle
 from sparkworks.llm.textnum import chunks, text_buffers
+from sparkworks.llm.wordcache import KeptWords, spread
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, slot_salt int"
 
@@ -27,43 +28,65 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A word's closing punctuation after a letter or digit: the tokenizer files in use split there.
+_TAIL = "^(?P<core>.*[a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?P<tail>[.,!#$%&*;:?]+)$"
+_SEPARATOR = "<|endoftext|>"
+
+
 class WordIds:
-    """Token ids of white-space separated words, with the frequent words kept.
+    """Token ids of texts by their distinct words.
 
-    The tokenizer files in use never join what ASCII white space separates, so
-    a text's ids are its words' ids in order.  ``memory`` bounds the words kept
-    between batches; it has no influence on results.
+    The tokenizer files in use never join what ASCII white space separates,
+    nor a letter or digit with the punctuation after it, so a text's ids are
+    those of its words' stems and closing punctuation in order.  Each distinct
+    stem of a batch is encoded once, many to a call, with a special token
+    between them; words that hold special tokens themselves are encoded alone.
     """
 
-    def __init__(self, path: str, memory: int = 100_000):
-        self.encoder, self.memory = tokenizer(path), memory
-        self.kept: dict[str, np.ndarray] = {}
+    def __init__(self, path: str):
+        self.encoder = tokenizer(path)
+        self.separator = self.encoder.token_to_id(_SEPARATOR)
+        self.vocabulary = KeptWords(self._encode)
+
+    def _encode(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stems, one after the other, and the number of ids of each."""
+        size = np.zeros(len(stems), np.int64)
+        plain = [k for k, w in enumerate(stems) if "<|" not in w]
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(stems) if len(plain) < len(stems) else []
+        pieces = []
+        for a in range(0, len(plain), 50_000):
+            own = plain[a : a + 50_000]
+            texts = [f" {_SEPARATOR} ".join([stems[k] for k in own[c : c + 500]]) + f" {_SEPARATOR}" for c in range(0, len(own), 500)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == self.separator)
+            size[own] = np.diff(np.concatenate(([-1], ends))) - 1
+            pieces.append(ids[ids != self.separator])
+        flat = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
+        if parts:  # rare: put the words with special tokens between the others
+            for k, own in zip(plain, np.split(flat, np.cumsum(size[plain])[:-1]), strict=True) if plain else ():
+                parts[k] = own
+            for k in set(range(len(stems))) - set(plain):
+                parts[k] = np.array(self.encoder.encode(stems[k], add_special_tokens=False).ids, np.uint32)
+                size[k] = len(parts[k])
+            flat = np.concatenate(parts)
+        return flat, size
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the number of ids per text."""
         words = pc.ascii_split_whitespace(texts)
         per_text = np.diff(words.offsets.to_numpy(zero_copy_only=False))
         coded = pc.dictionary_encode(words.flatten())
-        vocabulary, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        kept = self.kept
-        missing = [w for w in vocabulary if w not in kept]
-        fresh: dict[str, np.ndarray] = {}
-        for a in range(0, len(missing), 20_000):
-            part = missing[a : a + 20_000]
-            encode = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
-            fresh.update(zip(part, (np.array(e.ids, np.uint32) for e in encode(part, add_special_tokens=False)), strict=True))
-        ids = [kept[w] if w in kept else fresh[w] for w in vocabulary]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        first = np.concatenate(([0], np.cumsum(size)))[:-1] if len(size) else size
-        count = size[codes]
-        ends = np.cumsum(count)
-        where = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(first[codes], count)
-        total = np.concatenate(([0], ends))
-        at = np.concatenate(([0], np.cumsum(per_text)))
-        if len(kept) + len(fresh) <= self.memory:
-            kept.update(fresh)
-        return flat[where], np.diff(total[at])
+        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        split = pc.extract_regex(distinct, _TAIL)
+        whole = pc.is_null(split)
+        core = pc.if_else(whole, distinct, pc.struct_field(split, "core"))
+        tail = pc.if_else(whole, "", pc.struct_field(split, "tail"))
+        stems = pc.dictionary_encode(pa.concat_arrays([core.cast(pa.string()), tail.cast(pa.string())]))
+        which = stems.indices.to_numpy(zero_copy_only=False).reshape(2, -1)
+        flat, start, size = self.vocabulary(stems.dictionary.to_pylist())
+        # Two stems a word; an empty one has no ids.
+        stem = which.T[codes].ravel() if len(codes) else np.zeros(0, np.int64)
+        return spread(flat, start, size, stem, 2 * per_text)
 
 
 def cut(tokens: int, limit: int) -> list[tuple[int, int]]:
@@ -77,7 +100,7 @@ def _pieces(path: str, end_id: int, limit: int, id_type: pa.DataType, salts: int
         tail = np.array([end_id], np.uint32)
         for batch in batches:
             _, offsets = text_buffers(batch["text"])
-            for a, b in chunks(offsets, 4 << 20):
+            for a, b in chunks(offsets, 8 << 20):
                 texts = batch["text"].slice(a, b - a).fill_null("")
                 ids, sizes = encode(texts)
                 out: list[list] = [[], [], [], [], []]
@@ -212,4 +235,4 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, limit: int = 2048,
     rows with a null or repeated id are packed like all others; an empty table
     gives no rows.  Other columns are ignored.
     """
-    return pack(token_pieces(df, path, end_id, limit, id_col, text_col, salts=partitions(df, 16)), limit)
+    return pack(token_pieces(df, path, end_id, limit, id_col, text_col), limit)
