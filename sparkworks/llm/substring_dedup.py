@@ -29,8 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkworks.llm.common import settle
 from sparkworks.llm.textnum import Words, gram_hashes, mix, powers, run_starts, word_chunks
@@ -93,10 +95,23 @@ def _emit_stretches(threshold: int, anchor: int):
     return run
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the texts, which cross the network twice."""
+    engine = zstandard.ZstdCompressor(level=1, write_content_size=True)
+    for batch in batches:
+        texts = pa.array([engine.compress(x.as_py().encode()) for x in batch["text"]], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+
+
+def _unsqueeze(column: pa.Array) -> pa.Array:
+    engine = zstandard.ZstdDecompressor()
+    return pa.array([engine.decompress(x.as_py()) for x in column], pa.binary())
+
+
 def _emit_windows(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, words in word_chunks(batch["text"], lower=False):
+        for batch in (part for whole in batches for part in _small(whole)):
+            for a, b, words in word_chunks(_unsqueeze(batch["text"]), lower=False):
                 own = batch.slice(a, b - a)
                 hashes = gram_hashes(words.hash, threshold)
                 doc, place = [], []
@@ -111,38 +126,37 @@ def _emit_windows(threshold: int):
     return run
 
 
-def _cut(threshold: int):
+def _small(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def _cut(threshold: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, gone, kept = [], [], []
-            out: list[pa.RecordBatch] = []
-            held = 0
-
-            def flush(until: int, since: int) -> pa.RecordBatch:
-                arrays = [batch[c].slice(since, until - since) for c in batch.schema.names if c not in ("text", "spans")]
-                names = [c for c in batch.schema.names if c not in ("text", "spans")]
-                return pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_text"])
-
-            since = 0
-            for k, (text, spans) in enumerate(zip(batch["text"], batch["spans"], strict=True)):
-                words = _SPLIT.findall((text.as_py() or "").encode())
+        engine = zstandard.ZstdDecompressor()
+        for batch in (part for whole in batches for part in _small(whole)):
+            total, gone, kept, after = [], [], [], []
+            for data, spans in zip(batch["text"], batch["spans"], strict=True):
+                text = engine.decompress(data.as_py())
+                words = _SPLIT.findall(text)
                 removed = 0
                 if spans.is_valid:
                     covered = np.zeros(len(words) + 1, np.int64)
                     for s in spans.as_py():
                         covered[s >> 32] += 1
-                        covered[min(len(words), (s >> 32) + (s & 0xFFFFFFFF) - 1 + threshold)] -= 1
-                    mask = np.cumsum(covered)[:-1] > 0
-                    removed = int(mask.sum())
-                total.append(len(words))
+                        covered[(s >> 32) + (s & 0xFFFFFFFF) - 1 + threshold] -= 1
+                    stays = np.cumsum(covered)[:-1] == 0
+                    removed = len(words) - int(stays.sum())
+                    words = [words[k] for k in np.flatnonzero(stays).tolist()] if removed else words
+                total.append(len(words) + removed)
                 gone.append(removed)
-                kept.append((b" ".join([w for w, x in zip(words, mask, strict=True) if not x]) if removed else b" ".join(words)).decode())
-                held += len(kept[-1])
-                if held > 8 << 20:
-                    yield flush(k + 1, since)
-                    total, gone, kept, held, since = [], [], [], 0, k + 1
-            out.append(flush(batch.num_rows, since))
-            yield from out
+                kept.append(b" ".join(words).decode())
+                if keep:
+                    after.append(kept[-1] if removed else text.decode())
+            out = {c: batch[c] for c in batch.schema.names if c not in ("text", "spans")}
+            out |= {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
+            out |= {"after": pa.array(after, pa.string())} if keep else {"kept_text": pa.array(kept, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
@@ -151,34 +165,36 @@ def remove_repeats(df: DataFrame, threshold: int = 50, anchor: int = 10, id_col:
     """Per row: doc_id, n_words, n_removed and kept_text (kept words joined by one space).
 
     Words are runs of characters other than ASCII white space.  With ``keep``
-    the columns of ``df`` come first (those with clashing names are replaced).
-    A null text counts as empty, shorter texts than a window lose nothing, and
+    the result has the columns of ``df``, with the text that is left (as it
+    was, where nothing is removed), and n_words and n_removed, which replace
+    columns of these names.  A null text counts as empty, shorter texts than a window lose nothing, and
     a row without an id neither loses words nor makes others lose any.  Rows
     that repeat an id are one document as far as "smaller" goes.  An empty
     table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    carried = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if keep else []
+    carried = [F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in df.columns if c != text_col)).alias("row")] if keep else []
     # A version tells rows with one id and different texts apart.
     plain = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("version"), text.alias("text"), *carried)
     kind = plain.schema["id"].dataType.simpleString()
     runs = plain.filter("id is not null").select("id", "version", "text").mapInArrow(_emit_stretches(threshold, anchor), f"seed long, whole long, id {kind}, version long, span long")
-    runs = settle(runs)
-    kinds = runs.groupBy("seed", "whole").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    seeds = kinds.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high")).filter("low < high").select("seed", "kinds")
-    shared = settle(kinds.join(seeds, "seed").select("seed", "whole", "first", (F.col("kinds") > 1).alias("mixed")))
-    met = runs.join(shared, ["seed", "whole"]).select("id", "version", "span", (F.col("id") > F.col("first")).alias("repeated"), "mixed").filter("repeated or mixed")
+    # Stretches are made twice: that costs less than keeping those, nearly all, whose anchor occurs in one document.
+    # What is grouped is settled before it is joined: only then can the join split a passage that has many rows.
+    seeds = settle(runs.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high"), (F.min("whole") < F.max("whole")).alias("mixed")).filter("low < high").select("seed", "mixed"))
+    shared = settle(runs.join(seeds, "seed"))
+    firsts = settle(shared.groupBy("seed", "whole").agg(F.min("id").alias("first")))
+    met = shared.join(firsts, ["seed", "whole"]).select("id", "version", "span", (F.col("id") > F.col("first")).alias("repeated"), "mixed").filter("repeated or mixed")
     met = settle(met)
     open_spans = met.filter("not repeated").groupBy("id", "version").agg(F.collect_list("span").alias("spans"))
-    texts = plain.select("id", "version", "text", *(["row"] if keep else []))
-    windows = texts.join(open_spans, ["id", "version"]).select("id", "version", "text", "spans").mapInArrow(_emit_windows(threshold), f"window long, id {kind}, version long, span long")
+    texts = plain.mapInArrow(_squeeze, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in plain.schema]))
+    windows = texts.select("id", "version", "text").join(open_spans, ["id", "version"]).select("id", "version", "text", "spans").mapInArrow(_emit_windows(threshold), f"window long, id {kind}, version long, span long")
     windows = settle(windows)
-    least = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    least = settle(windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
     hits = windows.join(least, "window").filter("id > first").select("id", "version", "span")
     spans = met.filter("repeated").select("id", "version", "span").unionByName(hits).groupBy("id", "version").agg(F.collect_set("span").alias("spans"))
-    fields = f"id {kind}, " + (f"row {plain.schema['row'].dataType.simpleString()}, " if keep else "") + "n_words long, n_removed long, kept_text string"
-    out = texts.join(spans, ["id", "version"], "left").drop("version").mapInArrow(_cut(threshold), fields)
-    mine = ["n_words", "n_removed", "kept_text"]
+    fields = T.StructType([f for f in texts.schema if f.name in ("id", "row")]).add("n_words", "long").add("n_removed", "long").add("after" if keep else "kept_text", "string")
+    out = texts.join(spans, ["id", "version"], "left").drop("version").mapInArrow(_cut(threshold, keep), fields)
     if keep:
-        return out.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in mine), *mine)
-    return out.select(F.col("id").alias("doc_id"), *mine)
+        own = [F.col("after").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in ("n_words", "n_removed")]
+        return out.select(*own, "n_words", "n_removed")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_text")
