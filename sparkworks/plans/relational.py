@@ -33,12 +33,12 @@ def csv_roundtrip(t):
 
 
 @query(
-    "WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents), w AS (SELECT doc_id, line, string_split(line, ' ') AS f FROM l) "
-    "SELECT doc_id, f[len(f)] AS label, f[1] AS name, f[1][1:3] AS folder1, array_to_string(string_split(f[1], '-')[1:2], '-') AS folder2 FROM w WHERE NOT starts_with(line, '#') AND coalesce(f[2] <> 'err', true)"
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no FROM documents), w AS (SELECT *, string_split(line, ' ') AS f FROM l) "
+    "SELECT doc_id, line_no, f[len(f)] AS label, f[1] AS name, f[1][1:3] AS folder1, array_to_string(string_split(f[1], '-')[1:2], '-') AS folder2 FROM w WHERE NOT starts_with(line, '#') AND coalesce(f[2] <> 'err', true)"
 )
 def line_parse(t):
-    lines = t.documents.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
-    return io.parse_delimited_lines(lines, "line").select("doc_id", "label", "name", "folder1", "folder2")
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return io.parse_delimited_lines(lines, "line").select("doc_id", "line_no", "label", "name", "folder1", "folder2")
 
 
 @query("SELECT i AS id, round(i * (1.0 / (n - 1)), 6) AS x FROM (SELECT l_linenumber + 0 AS k, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER () AS n FROM lineitem)")
