@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,6 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write to the session's checkpoint folder and read from there; a temporary folder only where none is set."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 # --- projection and metadata --------------------------------------------------
 
 
@@ -155,12 +164,13 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
 
     Rows are range-sorted over all partitions; a row's position is its rank in
     its range plus the sizes of the ranges before, so no task sees all rows.
-    The order columns' distinct values bound the evenness of the ranges.
+    The ranges come from a sample that differs from run to run, so the dealt
+    rows are settled before they are counted and numbered.  The order columns' distinct values bound the evenness of the ranges.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    spread = settle(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
+    spread = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     # One row per partition.
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     return spread.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before") - 1).drop("_part", "_own", "_before")
