@@ -9,12 +9,16 @@ from sparkworks.llm.common import settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of the alternating star algorithm on edges (u, v) with u > v."""
+    """One step of the alternating star algorithm on edges (u, v) with u > v.
+
+    Minima are settled before they are joined, so that the join can split the
+    edges of a node that has most of them.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
         return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -31,7 +35,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b").distinct()
     now, seen = settle(now), None
     for _ in range(max_rounds):
-        now = settle(_stars(_stars(now, True), False))
+        now = settle(_stars(settle(_stars(now, True)), False))
         mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38, 0)))")).first()
         if mark == seen:
             break
