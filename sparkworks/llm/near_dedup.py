@@ -11,7 +11,10 @@ and a class goes to one child per picked place, named by its token there; so
 two similar classes share at least one child on average, and others seldom
 share any.  A node of at most ``node_limit`` classes (and ``node_shingles``
 shingles, which bounds what a task holds) is compared exhaustively; a larger
-one branches again.  Independent trees, each with its own choices,
+one branches again, by one place at least.  A large node that keeps nine
+tenths of its parent's classes is a group that branching does not part: it is
+compared in blocks that share hubs, and what these leave unconnected once more
+in tiles, where every pair meets.  Independent trees, each with its own choices,
 bring the share of links found to the target: a pair at the threshold is in a
 common root child with probability 1 - 0.25 ** (places picked by all roots).
 
@@ -38,6 +41,8 @@ from sparkworks.llm.textnum import Words, gram_hashes, mix, run_starts, uniform,
 
 SHINGLE = 5
 PLACES = 64
+#: A large node with this share of its parent's classes does not branch again.
+KEEPS = 0.9
 _KEYS = np.random.default_rng(6).integers(1, 1 << 63, (2, PLACES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -99,6 +104,14 @@ def picked_places(nodes: np.ndarray, threshold: float) -> np.ndarray:
     return uniform(keys.ravel(), 1).reshape(keys.shape) < 1 / (threshold * PLACES)
 
 
+def branched_places(nodes: np.ndarray, threshold: float) -> np.ndarray:
+    """The places that nodes branch by: those picked, or one by hash where none is, so that no node ends without a child."""
+    picked = picked_places(nodes, threshold)
+    bare = np.flatnonzero(~picked.any(axis=1))
+    picked[bare, (mix(nodes[bare].astype(np.uint64) ^ np.uint64(0xB4A5)) % np.uint64(PLACES)).astype(np.int64)] = True
+    return picked
+
+
 def child_keys(node: np.ndarray, place: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(mix(node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)) + token.astype(np.uint64))
 
@@ -120,7 +133,7 @@ def _grow_roots(trees: int, threshold: float):
             table = _sketch_table(batch["sketch"])
             keys = np.concatenate([child_keys(np.full(len(table), roots[t]), np.full(len(table), p), table[:, p]) for t, p in zip(tree, place, strict=True)] or [np.zeros(0, np.uint64)])
             sets, sizes = (np.tile(batch[c].to_numpy(), len(tree)) for c in ("set", "n_shingles"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets), pa.array(sizes.astype(np.int32))], ["node", "set", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets), pa.array(sizes.astype(np.int32)), pa.array(np.zeros(len(keys), np.int64))], ["node", "set", "size", "was"])
 
     return run
 
@@ -130,9 +143,9 @@ def _grow(threshold: float):
         for batch in batches:
             table, node = _sketch_table(batch["sketch"]), batch["node"].to_numpy().view(np.uint64)
             nodes, inverse = np.unique(node, return_inverse=True)
-            row, place = np.nonzero(picked_places(nodes, threshold)[inverse])
+            row, place = np.nonzero(branched_places(nodes, threshold)[inverse])
             keys = child_keys(node[row], place, table[row, place])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(batch[c].to_numpy()[row]) for c in ("set", "size"))], ["node", "set", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(batch[c].to_numpy()[row]) for c in ("set", "size", "n"))], ["node", "set", "size", "was"])
 
     return run
 
@@ -164,12 +177,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
 # --- comparison of small nodes -----------------------------------------------
 
 
-def estimates(table: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, later rows, share of equal tokens) where that share is at least ``least``."""
+def estimates(table: np.ndarray, least: float, rows: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, later rows, share of equal tokens) where that share is at least ``least``, for all or the first ``rows`` rows."""
     n = len(table)
+    rows = n if rows is None else rows
     step = max(1, (1 << 22) // (max(n, 1) * PLACES))
-    for a in range(0, n, step):
-        same = (table[a : a + step, None, :] == table[None, a:, :]).sum(axis=2, dtype=np.int32) / PLACES
+    for a in range(0, rows, step):
+        same = (table[a : min(a + step, rows), None, :] == table[None, a:, :]).sum(axis=2, dtype=np.int32) / PLACES
         for k in range(len(same)):
             near = np.flatnonzero(same[k, k + 1 :] >= least) + a + k + 1
             if len(near):
@@ -177,21 +191,34 @@ def estimates(table: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray
 
 
 def _prune(least: float):
-    """Drop classes without a likely partner in their node; name what is left by its classes."""
+    """Drop classes without a likely partner in their node; name what is left by its classes.
+
+    Where classes have labels, a partner has another label.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
             nodes, sets = table["node"].to_numpy(), table["set"].to_numpy()
             tokens = _sketch_table(table["sketch"].combine_chunks())
+            labels = table["label"].to_numpy() if "label" in table.column_names else None
             cuts = np.append(run_starts(nodes), len(nodes))
             out_node, out_set = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 mark = np.zeros(b - a, bool)
-                for k, near, _ in estimates(tokens[a:b], least):
-                    mark[k] = True
-                    mark[near] = True
+                if labels is None:
+                    order, rows, label = np.arange(b - a), b - a, np.arange(b - a)
+                else:
+                    # Those of the most frequent label come last: no two of them need be compared.
+                    names, label, n = np.unique(labels[a:b], return_inverse=True, return_counts=True)
+                    order, rows = np.argsort(label == n.argmax(), kind="stable"), b - a - int(n.max())
+                    label = label[order]
+                for k, near, _ in estimates(tokens[a:b][order], least, rows):
+                    near = near[label[near] != label[k]]
+                    if len(near):
+                        mark[k] = True
+                        mark[near] = True
                 if mark.any():
-                    own = np.sort(sets[a:b][mark])
+                    own = np.sort(sets[a:b][order][mark])
                     out_set.append(own)
                     out_node.append(np.full(len(own), np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), np.int64)[0]))
             if out_node:
@@ -260,35 +287,53 @@ def _confirm(least: float, percent: int):
 def near_links(classes: DataFrame, texts: DataFrame, percent: int = 75, trees: int = 6, node_limit: int = 4096, node_shingles: int = 4_000_000, depth_limit: int = 24) -> DataFrame:
     """Confirmed links (a, b) between classes that connect all classes which links connect.
 
-    ``classes`` has set, sketch and the id of a member, ``texts`` ids and texts.  A node that
-    is still too large after ``depth_limit`` branchings, which needs classes
-    that share nearly all their tokens, is split by rank into blocks, each
-    with the node's 64 first classes besides, so that no class goes
-    uncompared and no task gets an unbounded group.
+    ``classes`` has set, sketch and the id of a member, ``texts`` ids and texts.  A large node
+    that branching does not part (or that is left after ``depth_limit`` branchings) is split by
+    rank into blocks, each with the node's 64 first classes besides.  What is not connected then
+    meets in tiles of two parts of the node, so that no pair goes uncompared and no task gets an
+    unbounded group.
     """
     threshold = percent / 100
     least = threshold - 4 * (threshold * (1 - threshold) / PLACES) ** 0.5
-    level = classes.select("set", "sketch", "n_shingles").mapInArrow(_grow_roots(trees, threshold), "node long, set long, size int")
+    level = classes.select("set", "sketch", "n_shingles").mapInArrow(_grow_roots(trees, threshold), "node long, set long, size int, was long")
     small: DataFrame | None = None
+    crowds: DataFrame | None = None
     for depth in range(depth_limit + 1):
         level = settle(level)
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(set))").alias("who")).filter("n > 1")
-        # One node of those with the same classes.
-        sizes = settle(sizes.groupBy("n", "shingles", "who").agg(F.min("node").alias("node")))
+        sizes = settle(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(set))").alias("who"), F.max("was").alias("was")).filter("n > 1"))
         # Two classes are compared whatever their size.
         small_enough = (F.col("n") <= 2) | ((F.col("n") <= node_limit) & (F.col("shingles") <= node_shingles))
-        fits = level.join(sizes.filter(small_enough).select("node"), "node").select("node", "set")
+        fits = level.join(_once(sizes.filter(small_enough)).select("node"), "node").select("node", "set")
         small = fits if small is None else small.unionByName(fits)
-        large = sizes.filter(~small_enough).select("node")
+        large = sizes.filter(~small_enough)
         if large.isEmpty():
             break
-        rest = level.join(large, "node")
-        if depth == depth_limit:
-            small = small.unionByName(_blocks(rest, sizes, node_limit, node_shingles))
-            break
-        level = rest.join(classes.select("set", "sketch"), "set").select("node", "set", "sketch", "size").mapInArrow(_grow(threshold), "node long, set long, size int")
+        # Equal nodes are one only where they are compared: while they branch, each is a chance of its own.
+        ends = F.lit(depth == depth_limit) | ((F.col("was") > 0) & (F.col("n") >= KEEPS * F.col("was")))
+        stuck = settle(_once(large.filter(ends)))
+        if not stuck.isEmpty():
+            crowd = level.select("node", "set").join(stuck, "node")
+            crowds = crowd if crowds is None else crowds.unionByName(crowd)
+        level = level.select("node", "set", "size").join(large.filter(~ends).select("node", "n"), "node").join(classes.select("set", "sketch"), "set")
+        level = level.select("node", "set", "sketch", "size", "n").mapInArrow(_grow(threshold), "node long, set long, size int, was long")
+    if crowds is None:
+        return _compare(small, classes, texts, least, percent)
+    links = settle(_compare(small.unionByName(_blocks(crowds, node_limit, node_shingles)), classes, texts, least, percent))
+    found = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
+    labelled = settle(crowds.join(found, "set", "left").withColumn("label", F.coalesce("label", "set")))
+    mixed = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
+    return links.unionByName(_compare(_tiles(labelled.join(mixed, "node"), node_limit, node_shingles), classes, texts, least, percent))
+
+
+def _once(sizes: DataFrame) -> DataFrame:
+    """One node of those with the same classes."""
+    return sizes.groupBy("n", "shingles", "who").agg(F.min("node").alias("node")).select("node", "n", "shingles")
+
+
+def _compare(nodes: DataFrame, classes: DataFrame, texts: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) that connect what all links within the nodes connect; where classes have labels, all between different ones."""
     parts = partitions(classes)
-    with_sketch = small.join(classes.select("set", "sketch"), "set").select("node", "set", "sketch")
+    with_sketch = nodes.join(classes.select("set", "sketch"), "set").select(*nodes.columns, "sketch")
     pruned = with_sketch.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_prune(least), "node long, set long")
     pruned = settle(pruned.distinct())
     wanted = pruned.groupBy("set").agg(F.collect_list("node").alias("nodes")).join(classes.select("set", "id"), "set")
@@ -297,9 +342,9 @@ def near_links(classes: DataFrame, texts: DataFrame, percent: int = 75, trees: i
     return dealt.mapInArrow(_confirm(least, percent), "a long, b long")
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, limit: int, shingles: int) -> DataFrame:
+def _blocks(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
     """Too large nodes as blocks within the limits, chosen by hash, that share the node's least 64 hashes."""
-    own = rows.join(sizes.select("node", "n", "shingles"), "node").withColumn("rank", F.xxhash64("set", "node"))
+    own = rows.withColumn("rank", F.xxhash64("set", "node"))
     # The hubs are those under a bound that leaves about 64 of n.
     share = (F.col("rank").cast("double") / F.lit(2.0**64)) + 0.5
     blocks = F.greatest(F.ceil(F.col("n") / (limit - 128)), F.ceil(F.col("shingles") / shingles)).cast("int")
@@ -308,6 +353,14 @@ def _blocks(rows: DataFrame, sizes: DataFrame, limit: int, shingles: int) -> Dat
     return hubs.unionByName(rest).distinct().select(F.xxhash64("node", "block").alias("node"), "set")
 
 
+def _tiles(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
+    """Too large nodes cut into parts by hash, one tile for each two parts: any two classes of a node meet in one."""
+    parts = F.greatest(F.lit(2), F.ceil(2 * F.col("n") / limit), F.ceil(2 * F.col("shingles") / shingles)).cast("int")
+    own = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "set", F.lit(2)), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+    return met.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "set", "label")
+
+
 def near_dedup(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", trees: int = 6, node_limit: int = 4096, depth_limit: int = 24) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id reachable by links) and kept.
 

@@ -83,3 +83,40 @@ def test_components_of_a_long_path(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(301)} | {1000: 1000, 1001: 1000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_close_copies_above_node_shingles(spark):
+    """A group of very close copies too large for a node stays whole, whatever places its nodes pick."""
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(9000)}" for _ in range(4000)]
+    rows = []
+    for k in range(40):
+        own = list(base)
+        own[k * 90] = f"e{k}"
+        rows.append((k, " ".join(own)))
+    plain = spark.createDataFrame(rows, "id long, text string")
+    classes = plain.mapInArrow(n._emit_sketches, "id long, n_shingles long, set long, sketch binary").localCheckpoint()
+    found = components(n.near_links(classes, plain, node_shingles=100_000)).collect()
+    assert len(found) == 40 and len({r["component"] for r in found}) == 1
+
+
+def test_pairs_of_an_unparted_node_meet(spark):
+    """Pairs far from all hubs of a node are found though they are in different blocks."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [f"p{k}y{rng.randrange(3000)}" for _ in range(100)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], "changed"]))]
+    shared = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = shared.select(shared.doc_id.alias("id"), "text")
+    classes = plain.mapInArrow(n._emit_sketches, "id long, n_shingles long, set long, sketch binary").localCheckpoint()
+    crowd = classes.selectExpr("7L as node", "set", "set as label", "120L as n", "11520L as shingles")
+    found = n._compare(n._tiles(crowd, 4096, 2000), classes, plain, 0.5, 75)
+    ids = {r["set"]: r["id"] for r in classes.collect()}
+    assert {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in found.collect()} == {(2 * k, 2 * k + 1) for k in range(60)}
+
+
+def test_every_node_branches():
+    nodes = n.root_keys(2000)
+    assert (~n.picked_places(nodes, 0.75).any(axis=1)).sum() > 300
+    assert n.branched_places(nodes, 0.75).any(axis=1).all()
