@@ -6,9 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +68,28 @@ def vocabulary(weights: DataFrame) -> DataFrame:
     return weights.select("term").distinct().orderBy("term")
 
 
+class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Counts times ln((1 + n) / (1 + df)) + 1, fitted on the training rows; Spark's own weights lack the 1."""
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> ElementwiseProduct:
+        weights = IDF(inputCol=self.getInputCol(), outputCol="_idf").fit(dataset).idf.toArray() + 1
+        return ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+
+
 def sentiment_pipeline(text: str, label: str, max_features: int = 10_000, n_rows: int | None = None) -> Pipeline:
-    """Tokens, counts, unit length and logistic regression; ``n_rows`` sets the usual strength of the penalty."""
+    """Tokens, counts, idf weights, unit length and logistic regression; ``n_rows`` sets the usual strength of the penalty."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"(?U)\w\w+", gaps=False),
             StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=list(STOP_WORDS)),
             CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=max_features),
-            Normalizer(inputCol="_counts", outputCol="features", p=2.0),
+            SmoothIdf(inputCol="_counts", outputCol="_weights"),
+            Normalizer(inputCol="_weights", outputCol="features", p=2.0),
             LogisticRegression(labelCol=label, regParam=1.0 / n_rows if n_rows else 0.0, standardization=False),
         ]
     )

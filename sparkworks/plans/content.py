@@ -16,6 +16,8 @@ _WEIGHTS = (
     "raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN top USING (term)), "
     "weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"
 )
+#: The same with the reference's number of terms.
+_ALL_WEIGHTS = _WEIGHTS.replace("LIMIT 1000)", "LIMIT 10000)")
 
 
 # --- text ---------------------------------------------------------------------
@@ -37,6 +39,17 @@ def top_keywords(t):
     return text.top_keywords(weights, "doc_id", 2)
 
 
+@query(f"WITH {_ALL_WEIGHTS} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
+def tfidf_10000(t):
+    return text.tfidf(t.documents, "doc_id", "text").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_ALL_WEIGHTS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS k FROM weights) SELECT doc_id, string_agg(term, ' ' ORDER BY k) AS keywords FROM r WHERE k <= 2 GROUP BY 1")
+def top_keywords_10000(t):
+    weights = text.tfidf(t.documents, "doc_id", "text").withColumn("weight", F.round("weight", 9))
+    return text.top_keywords(weights, "doc_id", 2)
+
+
 @query(f"SELECT DISTINCT term FROM ({_TERMS})")
 def vocab_terms(t):
     return text.vocabulary(text.tokenize(t.documents, "doc_id", "text"))

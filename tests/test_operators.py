@@ -209,3 +209,14 @@ def test_grid_search_and_comparison(spark):
     assert score > 0.9 and best["maxDepth"] in (1, 2)
     ranked = models.compare_models(data, data, {"tree": models.decision_tree(), "line": models.logistic_regression(120)}, "label")
     assert ranked.count() == 2
+
+
+def test_sentiment_features_have_idf_weights(spark):
+    """The features are those of tfidf: counts times ln((1 + n) / (1 + df)) + 1, at unit length."""
+    rows = [(k, t, float(k % 2)) for k, t in enumerate(["apple apple pear", "apple plum", "pear plum plum quince", "apple apple"])]
+    df = spark.createDataFrame(rows, "id long, body string, label double")
+    model = text.sentiment_pipeline("body", "label", n_rows=4).fit(df)
+    terms = model.stages[2].vocabulary
+    got = {(r["id"], terms[k]): v for r in model.transform(df).collect() for k, v in enumerate(r["features"].toArray()) if v}
+    want = {(r["id"], r["term"]): r["weight"] for r in text.tfidf(df, "id", "body").collect()}
+    assert got == pytest.approx(want)

@@ -33,3 +33,9 @@ def test_query(spark, duck, name):
         assert table(got) == table((reader.read_all() if hasattr(reader, "read_all") else reader).to_pylist())
     else:
         assert got
+
+
+def test_keywords_beyond_the_first_thousand(spark):
+    few = {r["term"] for r in QUERIES["tfidf"](spark, DATA).select("term").distinct().collect()}
+    many = {r["term"] for r in QUERIES["tfidf_10000"](spark, DATA).select("term").distinct().collect()}
+    assert few < many
