@@ -159,7 +159,7 @@ def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*(F.col(c).desc() for c in order)).limit(n).orderBy(*order)
 
 
-def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
     """Position from 0 in the given order, which must tell all rows apart.
 
     Rows are range-sorted over all partitions; a row's position is its rank in

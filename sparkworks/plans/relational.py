@@ -243,6 +243,13 @@ def sort_mixed(t):
     return top.withColumn("rn", F.row_number().over(Window.orderBy(F.col("p").asc_nulls_last(), F.desc("o_orderkey"))))
 
 
+@query("SELECT o_orderkey, p, row_number() OVER (ORDER BY p ASC NULLS LAST, o_orderkey DESC) AS rn FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders)")
+def sort_mixed_all(t):
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority")).alias("p"))
+    placed = table.with_position(rows, [F.col("p").asc_nulls_last(), F.desc("o_orderkey")])
+    return placed.select("o_orderkey", "p", (F.col("position") + 1).alias("rn"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 10")
 def head(t):
     return table.head(t.orders, 10, ["o_orderkey"]).select("o_orderkey", "o_custkey")

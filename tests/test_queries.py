@@ -39,3 +39,12 @@ def test_keywords_beyond_the_first_thousand(spark):
     few = {r["term"] for r in QUERIES["tfidf"](spark, DATA).select("term").distinct().collect()}
     many = {r["term"] for r in QUERIES["tfidf_10000"](spark, DATA).select("term").distinct().collect()}
     assert few < many
+
+
+def test_all_sorted_rows(spark):
+    """No row is lost, and nulls are last."""
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").count()
+    rows = sorted(QUERIES["sort_mixed_all"](spark, DATA).collect(), key=lambda r: r["rn"])
+    assert [r["rn"] for r in rows] == list(range(1, orders + 1))
+    nulls = [r["p"] is None for r in rows]
+    assert any(nulls) and nulls == sorted(nulls)
