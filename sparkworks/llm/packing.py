@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -10,15 +11,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkworks.llm.common import settle
+from sparkworks.llm.common import settle, tidy
 from sparkworks.llm.textnum import chunks, text_buffers
 from sparkworks.llm.wordcache import KeptWords, spread
 
-PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, slot_salt int"
+#: Bytes of text that are tokenised at once; smaller chunks encode frequent words more often.
+CHUNK = 4 << 20
+#: Stems to a call of the tokenizer, which keeps an object for every id of a call.
+CALL = 10_000
+PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part int, own long"
 
 
 @lru_cache(maxsize=2)
@@ -31,6 +37,26 @@ def tokenizer(path: str):
 #: A word's closing punctuation after a letter or digit: the tokenizer files in use split there.
 _TAIL = "^(?P<core>.*[a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?P<tail>[.,!#$%&*;:?]+)$"
 _SEPARATOR = "<|endoftext|>"
+#: The only splitting of texts for which words and their closing punctuation can be encoded apart.
+_SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def check_tokenizer(encoder) -> int:
+    """The separator's id; raises where the file splits texts in another way than ``WordIds`` takes for granted."""
+    plan = json.loads(encoder.to_str())
+    before = plan.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers", [before])
+    split = steps[0] if steps else {}
+    normal = plan.get("normalizer") or {}
+    normalizers = {x.get("type") for x in normal.get("normalizers", [normal])}
+    if split.get("type") != "Split" or split.get("pattern") != {"Regex": _SPLITS} or not split.get("invert") or split.get("behavior") != "Removed":
+        raise ValueError("the tokenizer does not split words as the packing operator needs it")
+    if any(x.get("type") != "ByteLevel" or x.get("use_regex") or x.get("add_prefix_space") for x in steps[1:]) or not normalizers <= {"NFC", "Replace", "Lowercase"}:
+        raise ValueError("the tokenizer changes texts in ways that the packing operator does not know")
+    separator = encoder.token_to_id(_SEPARATOR)
+    if separator is None or len(encoder.encode(f"a {_SEPARATOR}", add_special_tokens=False).ids) != 2:
+        raise ValueError(f"the tokenizer has no special token {_SEPARATOR}")
+    return separator
 
 
 class WordIds:
@@ -45,7 +71,7 @@ class WordIds:
 
     def __init__(self, path: str):
         self.encoder = tokenizer(path)
-        self.separator = self.encoder.token_to_id(_SEPARATOR)
+        self.separator = check_tokenizer(self.encoder)
         self.vocabulary = KeptWords(self._encode)
 
     def _encode(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +80,8 @@ class WordIds:
         plain = [k for k, w in enumerate(stems) if "<|" not in w]
         parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(stems) if len(plain) < len(stems) else []
         pieces = []
-        for a in range(0, len(plain), 50_000):
-            own = plain[a : a + 50_000]
+        for a in range(0, len(plain), CALL):
+            own = plain[a : a + CALL]
             texts = [f" {_SEPARATOR} ".join([stems[k] for k in own[c : c + 500]]) + f" {_SEPARATOR}" for c in range(0, len(own), 500)]
             ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.flatnonzero(ids == self.separator)
@@ -94,56 +120,63 @@ def cut(tokens: int, limit: int) -> list[tuple[int, int]]:
     return [(a, min(limit, tokens - a)) for a in range(0, tokens, limit)]
 
 
-def _pieces(path: str, end_id: int, limit: int, id_type: pa.DataType, salts: int):
+def _pieces(path: str, end_id: int, limit: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordIds(path)
         tail = np.array([end_id], np.uint32)
+        part = TaskContext.get().partitionId()
+        seen = np.zeros(limit + 1, np.int64)
         for batch in batches:
             _, offsets = text_buffers(batch["text"])
-            for a, b in chunks(offsets, 8 << 20):
+            for a, b in chunks(offsets, CHUNK):
                 texts = batch["text"].slice(a, b - a).fill_null("")
                 ids, sizes = encode(texts)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 at = 0
                 for k, n in enumerate(sizes.tolist()):
                     own = np.concatenate((ids[at : at + n], tail))
                     at += n
                     for start, length in cut(n + 1, limit):
-                        row = (k, start, length, zlib.crc32(own[start : start + length].astype("<u4").tobytes()), n + 1)
+                        row = (k, start, length, zlib.crc32(own[start : start + length].astype("<u4").tobytes()), n + 1, seen[length])
+                        seen[length] += 1
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
-                taken = batch["doc_id"].slice(a, b - a).take(pa.array(out[0], pa.int64()))
-                salt = np.array([zlib.crc32(f"{d}:{s}".encode()) % salts for d, s in zip(taken.to_pylist(), out[1], strict=True)], np.int32)
-                yield pa.RecordBatch.from_arrays([taken.cast(id_type), *(pa.array(c, pa.int64()) for c in out[1:]), pa.array(salt)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "slot_salt"])
+                taken = batch["doc_id"].slice(a, b - a).take(pa.array(out[0], pa.int64())).cast(id_type)
+                start, length, crc, whole, rank = (pa.array(c, pa.int64()) for c in out[1:])
+                yield pa.RecordBatch.from_arrays([taken, start, length, crc, whole, pa.array(np.full(len(taken), part, np.int32)), rank], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "own"])
+
+    return tidy(run)
 
-    return run
 
+def token_pieces(df: DataFrame, path: str, end_id: int = 1, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokenise whole texts (null: empty), append ``end_id`` and cut into pieces of at most ``limit`` ids.
 
-def token_pieces(df: DataFrame, path: str, end_id: int = 1, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """Tokenise whole texts (null: empty), append ``end_id`` and cut into pieces of at most ``limit`` ids."""
+    ``part`` is the task that made a piece and ``own`` its rank among the
+    pieces of its length there.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
     id_type = pa.string() if kind.simpleString() == "string" else pa.int64()
     if kind.simpleString() not in ("string", "bigint"):
         rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(_pieces(path, end_id, limit, id_type, salts), PIECES.format(id="string" if id_type == pa.string() else "long"))
+    return rows.mapInArrow(_pieces(path, end_id, limit, id_type), PIECES.format(id="string" if id_type == pa.string() else "long"))
 
 
 def pack_histogram(counts: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns and how often each is used, for a histogram of lengths.
 
-    Lengths are placed longest first, each into the pack with the least room
-    left that still holds it and was opened first ("shortest pack first": packs
-    are looked up by the room that remains, from the tightest fit up).  Only
-    counts of equal packs are kept, so the work depends on the number of
-    distinct lengths and not on the number of pieces.
+    Lengths are placed longest first, each into the shortest pack that still
+    holds it, the one with the most room left; a new pack is opened only where
+    no open one holds the length.  Only counts of equal packs are kept, so the
+    work depends on the number of distinct lengths and not on the number of
+    pieces.
     """
     open_packs: dict[int, list[list]] = defaultdict(list)  # room -> [[pattern, count]]
     done: Counter = Counter()
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            room = next((r for r in range(length, limit + 1) if open_packs.get(r)), None)
+            room = next((r for r in range(limit, length - 1, -1) if open_packs.get(r)), None)
             if room is None:
                 times = left
                 pattern: tuple[int, ...] = ()
@@ -208,20 +241,19 @@ def pack(pieces: DataFrame, limit: int = 2048) -> DataFrame:
     """Assign every piece its sequence and its offset there.
 
     The histogram has at most ``limit`` rows and is all that the driver sees.
-    A piece's rank among those of its length is its rank within (length, salt)
-    plus the counts of the salts before, so that no task ranks all pieces of a
-    frequent length.  Pieces with equal ids are ranked by start and checksum.
+    A piece's rank among those of its length is its rank within the task that
+    made it plus what earlier tasks made of that length, so no pieces are
+    sorted, and a length that most pieces have is spread over the tasks that
+    made them.  Pieces are settled first: their ranks are then fixed.
     """
     pieces = settle(pieces)
-    cells = pieces.groupBy("length", "slot_salt").agg(F.count("*").alias("n"))
-    cells = cells.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("slot_salt").rowsBetween(Window.unboundedPreceding, -1)))
-    cells = settle(cells.select("length", "slot_salt", "n", F.coalesce("before", F.lit(0)).alias("before")))
+    cells = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    cells = settle(cells.select("length", "part", "n", F.coalesce("before", F.lit(0)).alias("before")))
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = slots(pack_histogram(counts, limit))
-    own = F.row_number().over(Window.partitionBy("length", "slot_salt").orderBy("doc_id", "start", "ids_crc32"))
-    # At most limit * salts cells, whatever the number of pieces.
-    ranked = pieces.withColumn("own", own).join(F.broadcast(cells.drop("n")), ["length", "slot_salt"])
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") - 1 + F.col("before")).cast("long").alias("rank"))
+    ranked = pieces.join(cells.drop("n"), ["length", "part"])
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") + F.col("before")).cast("long").alias("rank"))
     kind = ranked.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(_place(places), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -233,6 +265,7 @@ def pack_documents(df: DataFrame, path: str, end_id: int = 1, limit: int = 2048,
     sequence_id, offset.  A document is cut only where it is longer than a
     sequence.  A null or empty text is one piece that holds the end id alone;
     rows with a null or repeated id are packed like all others; an empty table
-    gives no rows.  Other columns are ignored.
+    gives no rows.  Other columns are ignored.  A tokenizer file that splits texts
+    in another way than this operator takes for granted raises a ValueError.
     """
     return pack(token_pieces(df, path, end_id, limit, id_col, text_col), limit)
