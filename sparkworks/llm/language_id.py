@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkworks.llm.common import tidy
 from sparkworks.llm.textnum import chunks, mix, run_starts, text_buffers
 
 GRAM = 3
 UNKNOWN = "und"
+#: There are some 7000 living languages; a column with more values holds something else.
+MOST_LANGUAGES = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -127,6 +130,8 @@ def _profiles(size: int):
                     mine = own == language
                     weight = np.bincount(inverse[mine], count[mine], minlength=len(grams)).astype(np.float32)
                     sums[language] = sums.get(language, 0) + (weight @ vectors).astype(np.float64)
+            if len(sums) > MOST_LANGUAGES:
+                raise ValueError(f"more than {MOST_LANGUAGES} different languages: is this a column of languages?")
         if sums:
             names = sorted(sums)
             yield pa.RecordBatch.from_arrays(
@@ -140,20 +145,23 @@ def learn_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """A vector per language, from all rows with a language and a letter.
 
     Every task bundles its rows; the sums meet by (language, place).  The
-    driver gets ``size`` numbers a language.
+    driver gets ``size`` numbers a language.  More than ``MOST_LANGUAGES``
+    different ones raise a ValueError.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     sums = rows.mapInArrow(_profiles(size), "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     out: dict[str, list[float]] = {}
-    for r in sums.collect():
+    for r in sums.limit(size * MOST_LANGUAGES + 1).collect():
         out.setdefault(r["lang"], [0.0] * size)[r["place"]] = float(r["value"])
+    if len(out) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different languages: is this a column of languages?")
     return out
 
 
-def _predict(names: list[str], profiles: np.ndarray, size: int):
+def _predict(names: list[str], profiles: np.ndarray, size: int, inside: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_buffers(batch["text"])
+            raw, offsets = text_buffers(batch["text"] if inside is None else batch["row"].field(inside))
             best, score = [], []
             for a, b in chunks(offsets):
                 doc, gram, count, has = gram_counts(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -169,7 +177,7 @@ def _predict(names: list[str], profiles: np.ndarray, size: int):
                 out["row"] = batch["row"]
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return run
+    return tidy(run)
 
 
 def identify(df: DataFrame, profiles: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, keep: bool = False) -> DataFrame:
@@ -183,10 +191,11 @@ def identify(df: DataFrame, profiles: dict[str, list[float]], id_col: str = "doc
     size = len(profiles[names[0]]) if names else 64
     table = np.array([profiles[x] for x in names], np.float32).reshape(len(names), size)
     table = table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)
-    carried = [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if keep else []
-    rows = df.select(F.col(id_col).alias("doc_id"), (held_out if held_out is not None else F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), *carried)
+    # A kept row has its text already, and texts cross to Python once.
+    carried = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row") if keep else F.col(text_col).alias("text")
+    rows = df.select(F.col(id_col).alias("doc_id"), (held_out if held_out is not None else F.lit(False)).alias("held_out"), carried)
     fields = T.StructType([f for f in rows.schema if f.name not in ("text", "row")]).add("lang_pred", "string").add("score", "double")
     for f in rows.schema:
         if f.name == "row":
             fields.add(f)
-    return rows.mapInArrow(_predict(names, table, size), fields)
+    return rows.mapInArrow(_predict(names, table, size, df.columns.index(text_col) if keep else None), fields)

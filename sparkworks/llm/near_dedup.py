@@ -6,10 +6,11 @@ their sets' Jaccard similarity is 0.75 or more.
 Documents with equal sets form a class, and one member stands for it.  Its
 sketch holds the least shingle hash under each of 64 hash functions
 ("minwise tokens").  Every tree of the join starts with all classes in one
-node.  A node picks each of the 128 places with probability 1 / (0.75 * 64),
-and a class goes to one child per picked place, named by its token there; so
-two similar classes share at least one child on average, and others seldom
-share any.  A node of at most ``node_limit`` classes (and ``node_shingles``
+node.  A node picks each of the 64 places with probability 1 / (0.75 * 64)
+(a root) or ``BRANCHING`` times that (a node below), and a class goes to one
+child per picked place, named by its token there; so two classes at the
+threshold share one child of a root and 1.5 of another node on average, and
+dissimilar ones seldom share any.  A node of at most ``node_limit`` classes (and ``node_shingles``
 shingles, which bounds what a task holds) is compared exhaustively; a larger
 one branches again, by one place at least.  A large node that keeps nine
 tenths of its parent's classes is a group that branching does not part: it is
@@ -17,6 +18,8 @@ compared in blocks that share hubs, and what these leave unconnected once more
 in tiles, where every pair meets.  Independent trees, each with its own choices,
 bring the share of links found to the target: a pair at the threshold is in a
 common root child with probability 1 - 0.25 ** (places picked by all roots).
+As nodes below the roots pass on more than one child of a pair on average, the
+pair's nodes do not die out with depth, which those of a factor of 1 do.
 
 Exhaustive comparison first estimates all pairs of a node from the sketches,
 then confirms candidates on the full sets, most similar first, and passes over
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkworks.llm.common import partitions, settle
+from sparkworks.llm.common import partitions, settle, tidy
 from sparkworks.llm.components import components
 from sparkworks.llm.textnum import Words, gram_hashes, mix, run_starts, uniform, word_chunks
 
@@ -43,6 +46,8 @@ SHINGLE = 5
 PLACES = 64
 #: A large node with this share of its parent's classes does not branch again.
 KEEPS = 0.9
+#: Children below the roots that two classes at the threshold share on average; above 1, or deep pairs are lost.
+BRANCHING = 1.5
 _KEYS = np.random.default_rng(6).integers(1, 1 << 63, (2, PLACES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -82,31 +87,34 @@ def set_key(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True) or 1
 
 
-def _emit_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, words in word_chunks(batch["text"], lower=True):
-            sets = shingle_sets(words)
-            full = [k for k, s in enumerate(sets) if len(s)]
-            rows: list[bytes | None] = [None] * len(sets)
-            for k, sketch in zip(full, sketches([sets[k] for k in full]), strict=True):
-                rows[k] = sketch.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"].slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(rows, pa.binary())], ["id", "n_shingles", "set", "sketch"]
-            )
+def _emit_sketches(carried: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in word_chunks(batch["text"], lower=True):
+                sets = shingle_sets(words)
+                full = [k for k, s in enumerate(sets) if len(s)]
+                rows: list[bytes | None] = [None] * len(sets)
+                for k, sketch in zip(full, sketches([sets[k] for k in full]), strict=True):
+                    rows[k] = sketch.tobytes()
+                found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(rows, pa.binary())]
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([own["id"], *found, *(own[c] for c in carried)], ["id", "n_shingles", "set", "sketch", *carried])
+
+    return tidy(run)
 
 
 # --- trees -------------------------------------------------------------------
 
 
-def picked_places(nodes: np.ndarray, threshold: float) -> np.ndarray:
-    """Which places each node picks, as a (nodes, PLACES) mask."""
+def picked_places(nodes: np.ndarray, threshold: float, share: float = 1.0) -> np.ndarray:
+    """Which places each node picks, as a (nodes, PLACES) mask; two classes at the threshold share ``share`` children on average."""
     keys = mix(nodes.astype(np.uint64))[:, None] + np.arange(PLACES, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    return uniform(keys.ravel(), 1).reshape(keys.shape) < 1 / (threshold * PLACES)
+    return uniform(keys.ravel(), 1).reshape(keys.shape) < share / (threshold * PLACES)
 
 
 def branched_places(nodes: np.ndarray, threshold: float) -> np.ndarray:
     """The places that nodes branch by: those picked, or one by hash where none is, so that no node ends without a child."""
-    picked = picked_places(nodes, threshold)
+    picked = picked_places(nodes, threshold, BRANCHING)
     bare = np.flatnonzero(~picked.any(axis=1))
     picked[bare, (mix(nodes[bare].astype(np.uint64) ^ np.uint64(0xB4A5)) % np.uint64(PLACES)).astype(np.int64)] = True
     return picked
@@ -370,16 +378,40 @@ def near_dedup(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     Rows without an id are not compared: their component is null, and all are
     kept.  An empty table gives no rows; other columns are ignored.
     """
-    plain = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = _assigned(df, percent, id_col, text_col, trees, node_limit, depth_limit)
+    name = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", name.alias("component_id"), F.col("id").eqNullSafe(name).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", trees: int = 6, node_limit: int = 4096, depth_limit: int = 24) -> DataFrame:
+    """The rows of ``df`` less all but one of each group that links connect.
+
+    The row with the least id stays, of several with that id the one whose
+    text has the least digest; rows that repeat both id and text stay or go
+    together.  Rows without an id or without shingles all stay.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    out = _assigned(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest.alias("digest")), percent, "doc_id", "text", trees, node_limit, depth_limit, ["digest"])
+    first = out.filter("component is not null").groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first")).select("first.*")
+    stay = first.unionByName(out.filter("component is null").select("id", "digest"))
+    return df.join(stay, df[id_col].eqNullSafe(stay["id"]) & (digest == stay["digest"]), "left_semi")
+
+
+def _assigned(df: DataFrame, percent: int, id_col: str, text_col: str, trees: int, node_limit: int, depth_limit: int, carried: list[str] | None = None) -> DataFrame:
+    """Per row: id, n_shingles, what is carried, its component's name and least id (null without id or shingles)."""
+    carried = carried or []
+    plain = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried)
     kind = plain.schema["id"].dataType.simpleString()
-    rows = settle(plain.mapInArrow(_emit_sketches, f"id {kind}, n_shingles long, set long, sketch binary"))
+    more = "".join(f", {c} {plain.schema[c].dataType.simpleString()}" for c in carried)
+    rows = settle(plain.mapInArrow(_emit_sketches(carried), f"id {kind}, n_shingles long, set long, sketch binary{more}"))
+    plain = plain.select("id", "text")
     # One member of each class stands for it, and its text is read again for the comparison.
     classes = settle(rows.filter("set <> 0 and id is not null").groupBy("set").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")))
     links = settle(near_links(classes, plain, percent, trees, node_limit, depth_limit=depth_limit))
     found = components(links)
     named = classes.select("set", "id").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_set = settle(named.join(least, "component").select("set", "component_id"))
-    out = rows.select("id", "n_shingles", "set").join(of_set, "set", "left")
-    name = F.when((F.col("set") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", name.alias("component_id"), F.col("id").eqNullSafe(name).alias("kept"))
+    of_set = settle(named.join(least, "component").select("set", "component", "component_id"))
+    # Rows without an id or shingles have no set to meet.
+    own = F.when(F.col("id").isNotNull() & (F.col("set") != 0), F.col("set"))
+    return rows.select("id", "n_shingles", own.alias("set"), *carried).join(of_set, "set", "left").select("id", "n_shingles", *carried, "component", "component_id")

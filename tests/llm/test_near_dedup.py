@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from sparkworks.llm import near_dedup as n
+from sparkworks.llm.common import settle
 from sparkworks.llm.components import components
 
 
@@ -95,7 +96,7 @@ def test_close_copies_above_node_shingles(spark):
         own[k * 90] = f"e{k}"
         rows.append((k, " ".join(own)))
     plain = spark.createDataFrame(rows, "id long, text string")
-    classes = plain.mapInArrow(n._emit_sketches, "id long, n_shingles long, set long, sketch binary").localCheckpoint()
+    classes = settle(plain.mapInArrow(n._emit_sketches([]), "id long, n_shingles long, set long, sketch binary"))
     found = components(n.near_links(classes, plain, node_shingles=100_000)).collect()
     assert len(found) == 40 and len({r["component"] for r in found}) == 1
 
@@ -109,7 +110,7 @@ def test_pairs_of_an_unparted_node_meet(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], "changed"]))]
     shared = spark.createDataFrame(rows, "doc_id long, text string")
     plain = shared.select(shared.doc_id.alias("id"), "text")
-    classes = plain.mapInArrow(n._emit_sketches, "id long, n_shingles long, set long, sketch binary").localCheckpoint()
+    classes = settle(plain.mapInArrow(n._emit_sketches([]), "id long, n_shingles long, set long, sketch binary"))
     crowd = classes.selectExpr("7L as node", "set", "set as label", "120L as n", "11520L as shingles")
     found = n._compare(n._tiles(crowd, 4096, 2000), classes, plain, 0.5, 75)
     ids = {r["set"]: r["id"] for r in classes.collect()}
@@ -120,3 +121,36 @@ def test_every_node_branches():
     nodes = n.root_keys(2000)
     assert (~n.picked_places(nodes, 0.75).any(axis=1)).sum() > 300
     assert n.branched_places(nodes, 0.75).any(axis=1).all()
+
+
+def test_recall_in_deep_nodes():
+    """Of pairs at the threshold nearly all are still together in some node after many branchings."""
+    rng = np.random.default_rng(1)
+    roots = n.root_keys(6)
+    tree, place = np.nonzero(n.picked_places(roots, 0.75))
+    lost = 0
+    for _ in range(300):
+        agree, token = rng.random(n.PLACES) < 0.75, rng.integers(0, 1 << 32, n.PLACES, dtype=np.uint64)
+        nodes, p, t = roots, place, tree
+        for _ in range(25):
+            m = agree[p]
+            nodes = np.unique(n.child_keys(nodes[t[m]], p[m], token[p[m]]))[:300]
+            if not len(nodes):
+                lost += 1
+                break
+            t, p = np.nonzero(n.branched_places(nodes, 0.75))
+    assert lost <= 6
+
+
+def test_rows_that_stay(spark, odd, none):
+    """One row of each group, also where ids repeat."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (5, a + " more"), (5, b), (7, b + " more"), (5, b + " and"), (None, a), (8, None), (8, ""), (9, "few"), (10, "few")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as digest", "2 as component", "3 as id")
+    got = n.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    fives = [t for i, t in kept if i == 5]
+    assert len(fives) == 1 and fives[0] in (b, b + " and")
+    assert sorted((x for x in kept if x[0] != 5), key=repr) == sorted([(1, a), (None, a), (8, None), (8, ""), (9, "few")], key=repr)
+    assert n.drop_near_duplicates(none).count() == 0

@@ -44,3 +44,14 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in c.STAGES:
         assert stage(spark, df, "").count() == 0
+
+
+def test_foreign_and_short_texts(spark):
+    """What resembles no language goes; short texts stay, and so do those with a repeated or null id."""
+    sound = "the house of the old king and their garden near the river "
+    alien = " ".join(chr(0x4E00 + 7 * k) + chr(0x4E03 + 11 * k) + chr(0x5000 + 5 * k) for k in range(300))
+    rows = [(k, sound * 20, "en", "s", 1) for k in range(12)] + [(12, alien, None, "s", 1), (12, "old king", None, "s", 1), (None, sound * 9, "en", "s", 1), (13, "A.", None, "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = c.language_id(spark, df, "").collect()
+    assert alien not in [r["text"] for r in left]
+    assert {(r["doc_id"], r["text"]) for r in left} >= {(12, "old king"), (None, sound * 9), (0, sound * 20)}
