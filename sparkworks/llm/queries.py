@@ -50,7 +50,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = write_warc(table(spark, sf_dir, "pages"), shared_folder(spark))
-    return page_records(read_warc(spark, out))
+    return page_records(read_warc(spark, out), whole=True)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ of members that any gzip or WARC reader takes.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -25,7 +26,9 @@ CONTENT_TYPE = "text/html; charset=utf-8"
 _NAMED = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
 
-RECORDS = "archive string, at long, size long, kind string, record_id string, uri string, refers_to string, digest string, full_bytes long, payload binary, problem string"
+RECORDS = "archive string, at long, size long, kind string, record_id string, uri string, refers_to string, digest string, full_bytes long, payload binary, verified boolean, problem string"
+#: Algorithms whose digests are checked, with the digests' bytes; others are taken as they are.
+_DIGESTS = {"md5": 16, "sha1": 20, "sha256": 32, "sha384": 48, "sha512": 64}
 
 
 # --- writing -----------------------------------------------------------------
@@ -35,7 +38,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Decide each page's record: page_id, url, payload, digest, refers_to (null: a response).
 
     Of pages with equal payloads of ``least`` bytes or more, the one with the
-    largest id is the response.  The group is found by SHA-256 and length,
+    largest id is the response.  The group is found by SHA-256,
     with a map-side maximum first, so copies do not gather in one task; the
     pages then meet their group in a join, which adaptive execution splits
     where one payload has many pages.
@@ -107,8 +110,43 @@ def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
     return fields, at + 2
 
 
+def named_digest(field: bytes | None) -> tuple[str, bytes] | None:
+    """Algorithm and raw digest of a digest field, in hex or base32; None where either is unknown."""
+    algorithm, _, value = (field or b"").decode("latin-1").partition(":")
+    algorithm, value = algorithm.lower().replace("-", ""), value.strip()
+    size = _DIGESTS.get(algorithm)
+    if size is None:
+        return None
+    try:
+        if len(value) == 2 * size:
+            return algorithm, bytes.fromhex(value)
+        raw = base64.b32decode(value.upper().rstrip("=") + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError:
+        return None
+    return (algorithm, raw) if len(raw) == size else None
+
+
+def _entity(fields: dict[bytes, bytes], block: bytes) -> bytes:
+    """What a payload digest covers: of an HTTP message the part after its header, else the whole block."""
+    if fields.get(b"content-type", b"").lower().startswith(b"application/http"):
+        head, blank, body = block.partition(b"\r\n\r\n")
+        return body if blank else block
+    return block
+
+
+def _checked(fields: dict[bytes, bytes], block: bytes, revisit: bool) -> bool | None:
+    """Whether the digests that the record names agree with it; None where it names none that can be checked."""
+    own = []
+    if named := named_digest(fields.get(b"warc-block-digest")):
+        own.append(hashlib.new(named[0], block).digest() == named[1])
+    # A revisit names the payload that it leaves out, a truncated record one that it has in part.
+    if not revisit and b"warc-truncated" not in fields and (named := named_digest(fields.get(b"warc-payload-digest"))):
+        own.append(hashlib.new(named[0], _entity(fields, block)).digest() == named[1])
+    return all(own) if own else None
+
+
 def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """The record at ``at``, where it ends, and what is wrong with it."""
+    """The record at ``at``, where it ends (``at`` where that is unknown), and what is wrong with it."""
     if (head := _header(data, at)) is None:
         return None, at, "bad header"
     fields, body = head
@@ -118,82 +156,98 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "bad length"
     payload = data[body:end]
-    named = fields.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:").lower()
     kind = fields.get(b"warc-type", b"").decode("latin-1")
-    if kind != "revisit" and named and hashlib.sha1(payload).hexdigest() != named:
-        return None, at, "bad digest"
+    verified = _checked(fields, payload, kind == "revisit")
+    if verified is False:
+        return None, end + 4, "bad digest"
     bare = lambda x: x.decode("utf-8", "replace").strip("<>") if x is not None else None
+    named = named_digest(fields.get(b"warc-payload-digest"))
+    digest = named[1].hex() if named and named[0] == "sha1" else None
+    if digest is None and kind != "revisit":
+        digest = hashlib.sha1(_entity(fields, payload)).hexdigest()
     size = fields.get(b"x-payload-bytes", b"")
     return {
         "kind": kind, "record_id": bare(fields.get(b"warc-record-id")), "uri": bare(fields.get(b"warc-target-uri")), "refers_to": bare(fields.get(b"warc-refers-to")),
-        "digest": named or hashlib.sha1(payload).hexdigest(), "full_bytes": int(size) if size.isdigit() else len(payload), "payload": payload,
+        "digest": digest, "full_bytes": int(size) if size.isdigit() else len(payload), "payload": payload, "verified": bool(verified),
     }, end + 4, ""
 
 
-def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """(place, size, record or None for a gap, problem) over uncompressed records."""
-    at, gap, why = 0, None, ""
-    while at < len(data):
-        record, end, problem = _record(data, at)
-        if record is not None:
-            if gap is not None:
-                yield gap, at - gap, None, why
-                gap = None
-            yield at, end - at, record, ""
-            at = end
-            continue
-        if gap is None:
-            gap, why = at, problem
-        # The next version line; a line inside a sound payload is never looked at, for whole records are stepped over.
-        found = _NAMED.search(data, at + 1)
-        at = found.start() if found else len(data)
-    if gap is not None:
-        yield gap, len(data) - gap, None, why
-
-
-def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The contents of the gzip member at ``at`` and its end, or None where its checks fail."""
-    if not data.startswith(MEMBER, at):
-        return None, at
+def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member at ``at`` holds, where reading it ended, and whether it is whole and sound."""
     engine, parts = zlib.decompressobj(31), []
-    try:
-        while not engine.eof and at < len(data):
+    while not engine.eof and at < len(data):
+        before = engine.copy()
+        try:
             parts.append(engine.decompress(data[at : at + 65536]))
             at += 65536
-    except zlib.error:
-        return None, at
-    return (b"".join(parts), min(at, len(data)) - len(engine.unused_data)) if engine.eof else (None, at)
+        except zlib.error:
+            # Everything before the byte that fails is kept.
+            for k in range(at, min(at + 65536, len(data))):
+                try:
+                    parts.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    return b"".join(parts), k, False
+            return b"".join(parts), min(at + 65536, len(data)), False
+    end = min(at, len(data)) - len(engine.unused_data)
+    return b"".join(parts), end, engine.eof
+
+
+def _next(data: bytes, begun: int, at: int, members: bool) -> int:
+    """Where the next version line from ``at`` or, among ``members``, gzip member after ``begun`` may start; else the end.
+
+    A damaged member may be read on into the next, so members are looked for
+    from its start; version lines in it may be those of stored records.
+    """
+    line = _NAMED.search(data, at)
+    places = [line.start()] if line else []
+    if members and (found := data.find(MEMBER, begun + 1)) >= 0:
+        places.append(found)
+    return min(places, default=len(data))
+
 
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, dict | None, str]]:
+    """(place, size, record or None for a gap, problem) of all that can be read from an archive.
 
-def _members(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """The same over gzip members; a member that fails its checks becomes a gap up to the next sound one."""
+    Records may be plain or in gzip members, in any order.  A plain record that
+    fails its digest but ends where it says is one gap, whatever its payload
+    looks like.  A member that fails its checks is a gap up to the next sound
+    member or record; of what it gave before it failed, records that a digest
+    confirms are kept.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
-        inner, end = _member(data, at)
-        if inner is not None:
-            if gap is not None:
-                yield gap, at - gap, None, why
-                gap = None
-            for _, _, record, problem in _plain(inner):
-                yield at, end - at, record, problem
-            at = end
-            continue
-        if gap is None:
-            gap, why = at, "bad member"
-        found = data.find(MEMBER, at + 1)
-        at = found if found >= 0 else len(data)
+        begun, after, found, problem = at, at, [], ""
+        if members and data.startswith(MEMBER, at):
+            inner, end, sound = _member(data, at)
+            after = end if sound else at
+            problem = "" if sound else "bad member"
+            for _, _, record, fault in salvage(inner, members=False):
+                if sound or (record and record["verified"]):
+                    found.append((begun, end - begun, record, fault))
+            at = max(end, begun + 1)
+        else:
+            record, after, problem = _record(data, at)
+            if record is not None:
+                found.append((at, after - at, record, ""))
+            at = after
+        if problem:
+            if gap is None:
+                gap, why = begun, problem
+            yield from found
+            # A record of known length is stepped over, and ended its gap.
+            at = _next(data, begun, max(at, begun + 1), members) if after == begun else after
+        if gap is not None and (not problem or after > begun):
+            yield gap, (after if problem else begun) - gap, None, why
+            gap = None
+        if not problem:
+            yield from found
+            at = after
     if gap is not None:
         yield gap, len(data) - gap, None, why
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """All records that can be read from an archive, and the gaps between them."""
-    first, plain = data.find(MEMBER), _NAMED.search(data)
-    yield from _members(data) if first >= 0 and (plain is None or first < plain.start()) else _plain(data)
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in RECORDS.split(", "))])
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
@@ -213,17 +267,26 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A row with ``problem`` is a quarantined gap: ``at`` and ``size`` are its
     bytes in the file (or those of the member around it), and the other
-    columns are null.  All later records are recovered from the next valid
+    columns are null.  ``verified`` says whether a digest was checked: those in
+    hex or base32 of MD5 or the SHA family are, others are taken as they are.
+    All later records are recovered from the next valid
     member or version line.  Files are dealt one by one, each read whole.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     return spark.read.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_read, RECORDS)
 
 
-def page_records(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the sound records."""
-    page = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)$", 1)
-    number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    return records.filter("problem is null").select(
-        number("record_id").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers_to").alias("refers_to")
+def page_records(records: DataFrame, id_type: str = "long", whole: bool = False) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the sound records.
+
+    ``id_type`` is the type of the pages' ids.  With ``whole`` a quarantined
+    gap raises an error, for its pages would be missing; else gaps are left out.
+    """
+    page = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, 'urn:page:(.*)$', 1), '') as {id_type})")
+    sound = F.col("problem").isNull()
+    if whole:
+        fault = F.concat(F.lit("damaged archive: "), F.col("problem"), F.lit(" at "), F.col("at").cast("string"), F.lit(" of "), F.col("archive"))
+        sound = F.when(sound, True).otherwise(F.raise_error(fault).cast("boolean"))
+    return records.filter(sound).select(
+        page("record_id").alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to")
     )
