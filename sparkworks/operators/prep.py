@@ -81,9 +81,12 @@ def map_values(column: Column, mapping: dict) -> Column:
     return out if out is not None else F.lit(None)
 
 
-def classes(df: DataFrame, column: str) -> list:
-    """Sorted distinct values but null: a list for the driver, so meant for categories."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+def classes(df: DataFrame, column: str, most: int = 1000) -> list:
+    """Sorted distinct values but null: a list for the driver, so more than ``most`` of them raise a ValueError."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"column {column} has more than {most} different values: too many for classes")
+    return sorted(r[0] for r in found)
 
 
 def label_codes(df: DataFrame, column: str, code: str = "code") -> DataFrame:

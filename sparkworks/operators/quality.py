@@ -34,13 +34,17 @@ def fields_match(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _passed(rule: Column) -> Column:
+    return F.coalesce(rule, F.lit(False))
+
+
 def compose(df: DataFrame, rules: dict[str, Column], name: str = "failed") -> DataFrame:
-    """An array of the names of the rules that each row fails."""
-    return df.withColumn(name, F.filter(F.array(*(F.when(~rule, F.lit(rule_name)) for rule_name, rule in rules.items())), lambda x: x.isNotNull()))
+    """An array of the names of the rules that each row fails; a rule that is null there is failed."""
+    return df.withColumn(name, F.filter(F.array(*(F.when(~_passed(rule), F.lit(rule_name)) for rule_name, rule in rules.items())), lambda x: x.isNotNull()))
 
 
 def rule_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Failures per rule, rules without any included; one pass."""
-    wide = df.agg(*(F.count_if(~rule).alias(n) for n, rule in rules.items()))
+    """Failures per rule, rules without any included; one pass.  A rule that is null for a row is failed there."""
+    wide = df.agg(*(F.count_if(~_passed(rule)).alias(n) for n, rule in rules.items()))
     items = F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("failures")) for n in rules))
     return wide.select(F.explode(items).alias("i")).select("i.*")

@@ -177,9 +177,12 @@ def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos
 
 
 def slice_rows(df: DataFrame, start: int, end: int, order: Sequence[str], inclusive: bool = False) -> DataFrame:
-    """Rows by position: the end is left out, or kept with ``inclusive``."""
+    """Rows by position: the end is left out, or kept with ``inclusive``.
+
+    Only the first rows up to the end are numbered, not the whole table.
+    """
     last = end if inclusive else end - 1
-    return with_position(df, order).filter(F.col("position").between(start, last))
+    return with_position(df.orderBy(*order).limit(max(last + 1, 0)), order).filter(F.col("position").between(start, last))
 
 
 def nsmallest(df: DataFrame, n: int, column: str, key: str) -> DataFrame:
@@ -229,10 +232,15 @@ def insert_rows(df: DataFrame, new: DataFrame, key: str, order: Sequence[str], d
 
 
 def update_rows(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows with a change take its values, nulls included; changes without a row are ignored."""
+    """Rows with a change take its values, nulls included; changes without a row are ignored.
+
+    A key that ``changes`` repeats raises an error when the result is read, for
+    one row cannot take two changes; repeated null keys match no row.
+    """
     names = [c for c in changes.columns if c != key]
-    side = changes.select(key, F.struct(*names).alias("_new"))
-    out = df.join(side, key, "left")
+    side = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), F.any_value(F.struct(*names)).alias("_new"))
+    once = F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.raise_error(F.concat(F.lit("more than one change of key "), F.col(key).cast("string"))).cast(side.schema["_new"].dataType))
+    out = df.join(side.select(key, once.alias("_new")), key, "left")
     return out.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns))
 
 

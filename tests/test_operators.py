@@ -220,3 +220,34 @@ def test_sentiment_features_have_idf_weights(spark):
     got = {(r["id"], terms[k]): v for r in model.transform(df).collect() for k, v in enumerate(r["features"].toArray()) if v}
     want = {(r["id"], r["term"]): r["weight"] for r in text.tfidf(df, "id", "body").collect()}
     assert got == pytest.approx(want)
+
+
+def test_repeated_changes_raise(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    once = spark.createDataFrame([(2, None), (9, "z"), (None, "x"), (None, "y")], "k int, v string")
+    assert sorted(rows(table.update_rows(df, once, "k")), key=repr) == [(1, "a"), (2, None), (None, "c")]
+    twice = spark.createDataFrame([(2, "x"), (2, "y")], "k int, v string")
+    with pytest.raises(Exception, match="more than one change of key 2"):
+        table.update_rows(df, twice, "k").collect()
+    assert table.delete_all(df).count() == 0
+
+
+def test_a_null_rule_is_failed(spark):
+    df = spark.createDataFrame([(1,), (None,), (-1,)], "v int")
+    rules = {"positive": F.col("v") > 0, "any": quality.max_length(F.col("v").cast("string"), 5)}
+    assert rows(quality.rule_report(df, rules), "rule") == [("any", 0), ("positive", 2)]
+    assert [r["failed"] for r in quality.compose(df, rules).collect()] == [[], ["positive"], ["positive"]]
+
+
+def test_too_many_classes_raise(spark):
+    df = spark.range(30).withColumn("c", F.col("id") % 3)
+    assert prep.classes(df, "c") == [0, 1, 2]
+    with pytest.raises(ValueError, match="more than 20"):
+        prep.classes(df, "id", most=20)
+
+
+def test_slice_numbers_the_first_rows_alone(spark):
+    df = spark.range(50).select((49 - F.col("id")).alias("v"))
+    assert [r["v"] for r in table.slice_rows(df, 3, 6, ["v"]).orderBy("v").collect()] == [3, 4, 5]
+    assert [r["v"] for r in table.slice_rows(df, 48, 60, ["v"], inclusive=True).orderBy("v").collect()] == [48, 49]
+    assert table.slice_rows(df, 0, 0, ["v"]).count() == 0
