@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -20,8 +21,8 @@ from sparkworks.llm.common import settle, tidy
 from sparkworks.llm.textnum import chunks, text_buffers
 from sparkworks.llm.wordcache import KeptWords, spread
 
-#: Bytes of text that are tokenised at once; smaller chunks encode frequent words more often.
-CHUNK = 4 << 20
+#: Bytes of text that are tokenised at once.
+CHUNK = 1 << 20
 #: Stems to a call of the tokenizer, which keeps an object for every id of a call.
 CALL = 10_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part int, own long"
@@ -29,6 +30,8 @@ PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    # Spark runs a task to a core; threads of the tokenizer's own would each keep memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
