@@ -7,8 +7,10 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -65,6 +67,30 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return whole
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """``df`` with its column ``text``, which holds no null, compressed for shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        for batch in batches:
+            texts = pa.array([engine.compress(x.as_py().encode()) for x in batch["text"]], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in df.schema]))
+
+
+def unsqueeze(column: pa.Array) -> pa.Array:
+    """The UTF-8 bytes of compressed texts."""
+    engine = zstandard.ZstdDecompressor()
+    return pa.array([engine.decompress(x.as_py()) for x in column], pa.binary())
+
+
+def small(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, whose texts are decompressed a slice at a time."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null stays null.
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkworks.llm.common import partitions, settle, tidy
+from sparkworks.llm.common import partitions, settle, small, squeezed, tidy, unsqueeze
 from sparkworks.llm.components import components
 from sparkworks.llm.textnum import Words, gram_hashes, mix, run_starts, uniform, word_chunks
 
@@ -236,8 +236,8 @@ def _prune(least: float):
 
 
 def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, words in word_chunks(batch["text"], lower=True):
+    for batch in (part for whole in batches for part in small(whole)):
+        for a, b, words in word_chunks(unsqueeze(batch["text"]), lower=True):
             own = batch.slice(a, b - a)
             sets = shingle_sets(words)
             right = pa.array([set_key(s) == k for s, k in zip(sets, own["set"].to_pylist(), strict=True)])  # an id may stand for several texts
@@ -304,7 +304,7 @@ def near_links(classes: DataFrame, texts: DataFrame, percent: int = 75, trees: i
     threshold = percent / 100
     least = threshold - 4 * (threshold * (1 - threshold) / PLACES) ** 0.5
     level = classes.select("set", "sketch", "n_shingles").mapInArrow(_grow_roots(trees, threshold), "node long, set long, size int, was long")
-    small: DataFrame | None = None
+    fitting: DataFrame | None = None
     crowds: DataFrame | None = None
     for depth in range(depth_limit + 1):
         level = settle(level)
@@ -312,7 +312,7 @@ def near_links(classes: DataFrame, texts: DataFrame, percent: int = 75, trees: i
         # Two classes are compared whatever their size.
         small_enough = (F.col("n") <= 2) | ((F.col("n") <= node_limit) & (F.col("shingles") <= node_shingles))
         fits = level.join(_once(sizes.filter(small_enough)).select("node"), "node").select("node", "set")
-        small = fits if small is None else small.unionByName(fits)
+        fitting = fits if fitting is None else fitting.unionByName(fits)
         large = sizes.filter(~small_enough)
         if large.isEmpty():
             break
@@ -325,11 +325,14 @@ def near_links(classes: DataFrame, texts: DataFrame, percent: int = 75, trees: i
         level = level.select("node", "set", "size").join(large.filter(~ends).select("node", "n"), "node").join(classes.select("set", "sketch"), "set")
         level = level.select("node", "set", "sketch", "size", "n").mapInArrow(_grow(threshold), "node long, set long, size int, was long")
     if crowds is None:
-        return _compare(small, classes, texts, least, percent)
-    links = settle(_compare(small.unionByName(_blocks(crowds, node_limit, node_shingles)), classes, texts, least, percent))
+        return _compare(fitting, classes, texts, least, percent)
+    links = settle(_compare(fitting.unionByName(_blocks(crowds, node_limit, node_shingles)), classes, texts, least, percent))
     found = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
     labelled = settle(crowds.join(found, "set", "left").withColumn("label", F.coalesce("label", "set")))
     mixed = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
+    mixed = settle(mixed)
+    if mixed.isEmpty():
+        return links
     return links.unionByName(_compare(_tiles(labelled.join(mixed, "node"), node_limit, node_shingles), classes, texts, least, percent))
 
 
@@ -345,7 +348,7 @@ def _compare(nodes: DataFrame, classes: DataFrame, texts: DataFrame, least: floa
     pruned = with_sketch.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_prune(least), "node long, set long")
     pruned = settle(pruned.distinct())
     wanted = pruned.groupBy("set").agg(F.collect_list("node").alias("nodes")).join(classes.select("set", "id"), "set")
-    shingles = texts.join(wanted, "id").select("set", "nodes", "text").mapInArrow(_emit_sets, "set long, nodes array<long>, shingles binary").dropDuplicates(["set"])
+    shingles = squeezed(texts).join(wanted, "id").select("set", "nodes", "text").mapInArrow(_emit_sets, "set long, nodes array<long>, shingles binary").dropDuplicates(["set"])
     dealt = shingles.select(F.explode("nodes").alias("node"), "set", "shingles").repartition(parts, "node").sortWithinPartitions("node", "set")
     return dealt.mapInArrow(_confirm(least, percent), "a long, b long")
 

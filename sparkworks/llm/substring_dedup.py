@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkworks.llm.common import settle
+from sparkworks.llm.common import settle, small, squeezed, unsqueeze
 from sparkworks.llm.textnum import Words, gram_hashes, mix, powers, run_starts, word_chunks
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -95,23 +95,10 @@ def _emit_stretches(threshold: int, anchor: int):
     return run
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compress the texts, which cross the network twice."""
-    engine = zstandard.ZstdCompressor(level=1, write_content_size=True)
-    for batch in batches:
-        texts = pa.array([engine.compress(x.as_py().encode()) for x in batch["text"]], pa.binary())
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
-
-
-def _unsqueeze(column: pa.Array) -> pa.Array:
-    engine = zstandard.ZstdDecompressor()
-    return pa.array([engine.decompress(x.as_py()) for x in column], pa.binary())
-
-
 def _emit_windows(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _small(whole)):
-            for a, b, words in word_chunks(_unsqueeze(batch["text"]), lower=False):
+        for batch in (part for whole in batches for part in small(whole)):
+            for a, b, words in word_chunks(unsqueeze(batch["text"]), lower=False):
                 own = batch.slice(a, b - a)
                 hashes = gram_hashes(words.hash, threshold)
                 doc, place = [], []
@@ -126,15 +113,10 @@ def _emit_windows(threshold: int):
     return run
 
 
-def _small(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for a in range(0, batch.num_rows, rows):
-        yield batch.slice(a, rows)
-
-
 def _cut(threshold: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = zstandard.ZstdDecompressor()
-        for batch in (part for whole in batches for part in _small(whole)):
+        for batch in (part for whole in batches for part in small(whole)):
             total, gone, kept, after = [], [], [], []
             for data, spans in zip(batch["text"], batch["spans"], strict=True):
                 text = engine.decompress(data.as_py())
@@ -186,7 +168,7 @@ def remove_repeats(df: DataFrame, threshold: int = 50, anchor: int = 10, id_col:
     met = shared.join(firsts, ["seed", "whole"]).select("id", "version", "span", (F.col("id") > F.col("first")).alias("repeated"), "mixed").filter("repeated or mixed")
     met = settle(met)
     open_spans = met.filter("not repeated").groupBy("id", "version").agg(F.collect_list("span").alias("spans"))
-    texts = plain.mapInArrow(_squeeze, T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in plain.schema]))
+    texts = squeezed(plain)
     windows = texts.select("id", "version", "text").join(open_spans, ["id", "version"]).select("id", "version", "text", "spans").mapInArrow(_emit_windows(threshold), f"window long, id {kind}, version long, span long")
     windows = settle(windows)
     least = settle(windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last"))
