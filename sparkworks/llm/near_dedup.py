@@ -48,6 +48,8 @@ PLACES = 64
 KEEPS = 0.9
 #: Children below the roots that two classes at the threshold share on average; above 1, or deep pairs are lost.
 BRANCHING = 1.5
+#: Tiles have few classes beside the texts: up to so many (node, class) rows, of some 40 bytes, meet the texts by broadcast.
+FEW = 250_000
 _KEYS = np.random.default_rng(6).integers(1, 1 << 63, (2, PLACES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -348,6 +350,8 @@ def _compare(nodes: DataFrame, classes: DataFrame, texts: DataFrame, least: floa
     pruned = with_sketch.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_prune(least), "node long, set long")
     pruned = settle(pruned.distinct())
     wanted = pruned.groupBy("set").agg(F.collect_list("node").alias("nodes")).join(classes.select("set", "id"), "set")
+    if "label" in nodes.columns and pruned.limit(FEW + 1).count() <= FEW:
+        wanted = F.broadcast(wanted)
     shingles = squeezed(texts).join(wanted, "id").select("set", "nodes", "text").mapInArrow(_emit_sets, "set long, nodes array<long>, shingles binary").dropDuplicates(["set"])
     dealt = shingles.select(F.explode("nodes").alias("node"), "set", "shingles").repartition(parts, "node").sortWithinPartitions("node", "set")
     return dealt.mapInArrow(_confirm(least, percent), "a long, b long")
