@@ -13,6 +13,7 @@ from sparkworks.llm.exact_dedup import exact_dedup
 from sparkworks.llm.language_id import identify, learn_profiles
 from sparkworks.llm.near_dedup import near_dedup
 from sparkworks.llm.packing import pack_documents
+from sparkworks.llm.periodic_runs import periodic_runs, with_repeated_tail
 from sparkworks.llm.pitman_yor import score_texts
 from sparkworks.llm.quality import learn_quality, score_quality
 from sparkworks.llm.sentencepiece import decode, encode
@@ -76,7 +77,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, learn_profiles(documents.filter(fold != 1)), held_out=fold == 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_sentencepiece, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeated_tail(table(spark, sf_dir, "documents"), share=10), power=4, least=6)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    top = F.col("top")
+    shape = (-top["s"]).alias("start"), top["n"].alias("length"), (-top["q"]).alias("period"), F.floor(top["n"] * 1000 / -top["q"]).alias("exponent_milli")
+    return out.select("doc_id", "n_runs", *shape, "runs_sha256", "collapsed_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_sentencepiece, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id, op11_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
@@ -101,4 +112,23 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM k
     """,
+    "op11_periodic_runs": """
+        WITH h AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) AS h
+            FROM documents),
+        g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+        d AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+        u AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+        same AS (SELECT x.doc_id, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+        stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM same GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+        run AS (SELECT * FROM stretch x WHERE NOT EXISTS (FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.s + y.n >= x.s + x.n)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM run),
+        kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS c FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+        told AS (SELECT doc_id, count(*) AS k, max({'n': n, 's': -s, 'q': -q}) AS top, sha256(string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q)) AS r FROM run GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(k, 0) AS n_runs, -top.s AS start, top.n AS length, -top.q AS period, 1000 * top.n // -top.q AS exponent_milli, coalesce(r, sha256('')) AS runs_sha256, coalesce(c, sha256('')) AS collapsed_sha256
+        FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
