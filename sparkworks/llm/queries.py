@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkworks.llm.collocations import collocations
 from sparkworks.llm.common import remainder, shared_folder, table
 from sparkworks.llm.embedding_dedup import embedding_dedup
 from sparkworks.llm.exact_dedup import exact_dedup
@@ -18,6 +19,7 @@ from sparkworks.llm.pitman_yor import score_texts
 from sparkworks.llm.quality import learn_quality, score_quality
 from sparkworks.llm.sentencepiece import decode, encode
 from sparkworks.llm.substring_dedup import remove_repeats
+from sparkworks.llm.top_products import top_products
 from sparkworks.llm.warc import page_records, read_warc, write_warc
 
 
@@ -87,7 +89,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", *shape, "runs_sha256", "collapsed_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_sentencepiece, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id, op11_periodic_runs)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000, cover=80, scale=2_000_000)
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_pitman_yor, op3_sentencepiece, op4_exact_dedup, op5_warc, op6_near_dedup, op7_embedding_dedup, op8_packing, op9_substring_dedup, op10_language_id, op11_periodic_runs, op12_collocations, op13_top_products)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
@@ -131,4 +141,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, coalesce(k, 0) AS n_runs, -top.s AS start, top.n AS length, -top.q AS period, 1000 * top.n // -top.q AS exponent_milli, coalesce(r, sha256('')) AS runs_sha256, coalesce(c, sha256('')) AS collapsed_sha256
         FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op12_collocations": """
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM t),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+        s AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 5) r(m) WHERE len(w) >= m),
+        c AS (SELECT lang, m, w[i : i + m - 1] AS g, count(*) AS f FROM s GROUP BY ALL),
+        n AS (SELECT lang, sum(f) AS n FROM c WHERE m = 1 GROUP BY lang),
+        a AS (SELECT lang, m, g, f FROM c WHERE m > 1 AND f >= 30),
+        k AS (SELECT a.lang, a.m, a.g, a.f AS a, k, l.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * a.f // (CAST(l.f AS HUGEINT) + r.f) AS score
+              FROM a, range(1, 4) q(k), c l, c r WHERE k < a.m AND l.lang = a.lang AND l.g = a.g[1 : k] AND r.lang = a.lang AND r.g = a.g[k + 1 : a.m]),
+        b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        x AS (SELECT lang, f, g[i + 1 : i + z] AS g FROM a, range(2, 4) y(z), range(0, 3) v(i) WHERE z < m AND i + z <= m),
+        u AS (SELECT lang, g, max(f) AS f FROM x GROUP BY lang, g),
+        d AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN u USING (lang, g) WHERE u.f IS NULL OR CAST(100 AS HUGEINT) * u.f < CAST(80 AS HUGEINT) * b.a),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000
+    """,
+    "op13_top_products": """
+        WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10
+    """,
 }
