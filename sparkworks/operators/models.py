@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkworks.operators.metrics import classification_metrics, regression_metrics
 from sparkworks.operators.prep import stratified_split
+from sparkworks.operators.ranges import with_rank_in
 from sparkworks.operators.text import knn_join
 
 
@@ -191,9 +192,14 @@ def grid_search(df: DataFrame, estimator: Estimator, grid: dict[str, Sequence],
     return model, {p.name: v for p, v in model.getEstimatorParamMaps()[best].items()}, float(model.avgMetrics[best])
 
 
-def with_folds(df: DataFrame, key: str, label: str, folds: int) -> DataFrame:
-    """A fold number per row, from a hash of label and key: about equal shares of each class in every fold."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(label).cast("string"), F.col(key).cast("string")), F.lit(folds)).cast("int"))
+def with_folds(df: DataFrame, key: str, label: str, folds: int, seed: int = 0) -> DataFrame:
+    """A fold number per row: rank by a hash of the key within the label's class, modulo ``folds``.
+
+    The folds' sizes in a class differ by one at most; the class of most rows
+    is ranked over all partitions.
+    """
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))))
+    return with_rank_in(hashed, label, ["_hash", key], "_rank").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_rank") % folds).cast("int").alias("fold"))
 
 
 def compare_models(train: DataFrame, test: DataFrame, models: dict[str, Estimator], label: str) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkworks.operators.ranges import modes, quantiles, with_position, with_rank_in
 from sparkworks.operators.stats import hash_share, numeric_columns
-from sparkworks.operators.table import with_position
 
 
 def _check(df: DataFrame, columns: Sequence[str]) -> None:
@@ -21,10 +21,11 @@ def _check(df: DataFrame, columns: Sequence[str]) -> None:
 
 def fill_values(df: DataFrame, method: str, columns: Sequence[str]) -> dict[str, object]:
     """The value that fills each column; columns without any value are left out."""
-    if method == "mode":
-        row = df.agg(*(F.mode(c, True).alias(c) for c in columns)).first()
+    if method == "median":
+        row = {r["column"]: r["q"][0] for r in quantiles(df, columns, (0.5,)).collect()}
+        row = {c: row.get(c) for c in columns}
     else:
-        row = df.agg(*((F.avg(c) if method == "mean" else F.median(c)).alias(c) for c in columns)).first()
+        row = (modes(df, columns) if method == "mode" else df.agg(*(F.avg(c).alias(c) for c in columns))).first()
     return {c: row[c] for c in columns if row[c] is not None}
 
 
@@ -225,20 +226,12 @@ def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int
 def stratified_split(df: DataFrame, key: str, stratum: str, test_size: float = 0.2, seed: int = 0) -> DataFrame:
     """Every row with ``is_test``: round(n * test_size) rows of each stratum, by rank of a hash of the key.
 
-    Ranks are taken within (stratum, first bits of the hash) and shifted by
-    the counts before, so a stratum with most rows does not meet in one task.
+    Ranks are those of the whole table in order of stratum and hash, less the
+    stratum's first, so a stratum with most rows does not meet in one task.
     """
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
-    rows = df.withColumn("_hash", digest).withColumn("_cell", F.substring("_hash", 1, 2))
-    cells = rows.groupBy(stratum, "_cell").agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(stratum)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(by)).drop("_n")
-    own = F.row_number().over(Window.partitionBy(stratum, "_cell").orderBy("_hash", key))
-    rank = F.col("_own") + F.col("_before")
-    placed = rows.withColumn("_own", own)
-    same = placed[stratum].eqNullSafe(cells[stratum]) & (placed["_cell"] == cells["_cell"])
-    out = placed.join(cells, same).withColumn("is_test", rank <= F.round(F.col("_all") * test_size))
-    return out.select(*(placed[c] for c in df.columns), "is_test")
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))))
+    placed = with_rank_in(hashed, stratum, ["_hash", key], "_rank", size="_all")
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_rank") < F.round(F.col("_all") * test_size)).alias("is_test"))
 
 
 def sequential_split(df: DataFrame, order: Sequence[str], ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:

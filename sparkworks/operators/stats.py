@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkworks.operators.table import with_position
+from sparkworks.operators.ranges import quantiles, with_position
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -45,14 +45,18 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     for c in columns:
         q = f"`{c}`"
         if c in numeric:
-            aggregates += [F.count(q).alias(f"{c}:n"), F.avg(q).alias(f"{c}:mean"), F.stddev_samp(q).alias(f"{c}:std"), F.min(q).cast("double").alias(f"{c}:min"), F.max(q).cast("double").alias(f"{c}:max"), F.percentile(q, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}:q")]
+            aggregates += [F.count(q).alias(f"{c}:n"), F.avg(q).alias(f"{c}:mean"), F.stddev_samp(q).alias(f"{c}:std"), F.min(q).cast("double").alias(f"{c}:min"), F.max(q).cast("double").alias(f"{c}:max")]
     wide = df.agg(*aggregates) if aggregates else None
+    quarters = quantiles(df, [c for c in columns if c in numeric], (0.25, 0.5, 0.75)) if aggregates else None
     for c in columns:
         if c in numeric:
             at = lambda k, c=c: F.col(f"`{c}:{k}`")
-            quart = lambda k, c=c: F.get(F.col(f"`{c}:q`"), F.lit(k))
-            items.append(F.struct(F.lit(c).alias("column"), at("n").alias("count"), at("mean").alias("mean"), at("std").alias("std"), at("min").alias("min"), quart(0).alias("p25"), quart(1).alias("p50"), quart(2).alias("p75"), at("max").alias("max")))
-    parts = [wide.select(F.explode(F.array(*items)).alias("i")).select("i.*")] if items else []
+            items.append(F.struct(F.lit(c).alias("column"), at("n").alias("count"), at("mean").alias("mean"), at("std").alias("std"), at("min").alias("min"), at("max").alias("max")))
+    parts = []
+    if items:
+        # A row per column on either side.
+        q = [F.get("q", F.lit(k)).alias(name) for k, name in enumerate(("p25", "p50", "p75"))]
+        parts = [wide.select(F.explode(F.array(*items)).alias("i")).select("i.*").join(F.broadcast(quarters.select("column", *q)), "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")]
     for c in columns:
         if c not in numeric:
             freq = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).agg(F.count("*").alias("n"))
@@ -63,7 +67,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def basic_stats(df: DataFrame, column: str) -> DataFrame:
     """Mean, median, population std and variance, min, max and sum in one row."""
     c = F.col(column)
-    return df.agg(F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("var"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c).alias("sum"))
+    one = df.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("var"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c).alias("sum"))
+    middle = quantiles(df, [column], (0.5,)).agg(F.max(F.get("q", F.lit(0))).alias("median"))
+    return one.crossJoin(F.broadcast(middle)).select("mean", "median", "std", "var", "min", "max", "sum")
 
 
 def row_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write to the session's checkpoint folder and read from there; a temporary folder only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from sparkworks.operators.ranges import settle, slice_by_position, with_position  # noqa: F401  settle is used by plans
 
 
 # --- projection and metadata --------------------------------------------------
@@ -159,30 +153,10 @@ def tail(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*(F.col(c).desc() for c in order)).limit(n).orderBy(*order)
 
 
-def with_position(df: DataFrame, order: Sequence[str | Column], name: str = "position") -> DataFrame:
-    """Position from 0 in the given order, which must tell all rows apart.
-
-    Rows are range-sorted over all partitions; a row's position is its rank in
-    its range plus the sizes of the ranges before, so no task sees all rows.
-    The ranges come from a sample that differs from run to run, so the dealt
-    rows are settled before they are counted and numbered.  The order columns' distinct values bound the evenness of the ranges.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = settle(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    spread = spread.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    # One row per partition.
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return spread.join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before") - 1).drop("_part", "_own", "_before")
-
-
 def slice_rows(df: DataFrame, start: int, end: int, order: Sequence[str], inclusive: bool = False) -> DataFrame:
-    """Rows by position: the end is left out, or kept with ``inclusive``.
-
-    Only the first rows up to the end are numbered, not the whole table.
-    """
+    """Rows by position: the end is left out, or kept with ``inclusive``; only the ranges that hold such positions are shuffled."""
     last = end if inclusive else end - 1
-    return with_position(df.orderBy(*order).limit(max(last + 1, 0)), order).filter(F.col("position").between(start, last))
+    return slice_by_position(df, start, last, order)
 
 
 def nsmallest(df: DataFrame, n: int, column: str, key: str) -> DataFrame:

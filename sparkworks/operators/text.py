@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import LogisticRegression
@@ -13,9 +12,12 @@ from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkworks.operators.neighbours import build_index, knn_join, similarity_search  # noqa: F401
+from sparkworks.operators.ranges import settle
+
 # English words that carry no topic.
 STOP_WORDS = (
     "a about above after again all also am an and any are as at be been before being below between both but by can could did do does doing down "
@@ -40,20 +42,53 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str] =
     return tokenize(df, key, text, stop_words).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(df: DataFrame, key: str, text: str, max_features: int = 10_000, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Long form (key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to length 1.
+@dataclass
+class TfidfModel:
+    """What was learned of a corpus: a row (term, idf) for each of at most ``max_features`` terms."""
 
-    The ``max_features`` most frequent terms stay, equal ones in order of the
-    term; that many rows are all that is broadcast.
-    """
-    counts = term_counts(df, key, text, stop_words)
+    terms: DataFrame
+    stop_words: Sequence[str] = tuple(STOP_WORDS)
+
+    def transform(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, term, weight) of other texts too: tf * idf, each document scaled to length 1; terms not learned are left out."""
+        return self._weights(term_counts(df, key, text, self.stop_words), key)
+
+    def _weights(self, counts: DataFrame, key: str) -> DataFrame:
+        # The terms are as many as were asked for when the model was fitted.
+        raw = counts.join(F.broadcast(self.terms), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+        return raw.select(key, "term", (F.col("w") / length).alias("weight"))
+
+    def save(self, path: str) -> str:
+        self.terms.coalesce(1).write.mode("overwrite").parquet(f"{path}/terms")
+        self.terms.sparkSession.createDataFrame([(w,) for w in self.stop_words], "word string").coalesce(1).write.mode("overwrite").parquet(f"{path}/stop_words")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "TfidfModel":
+        return TfidfModel(spark.read.parquet(f"{path}/terms"), tuple(r[0] for r in spark.read.parquet(f"{path}/stop_words").collect()))
+
+
+def _learned(counts: DataFrame, n: DataFrame, max_features: int) -> DataFrame:
+    """(term, idf) of the most frequent terms, equal ones in order of the term: ln((1 + n) / (1 + df)) + 1."""
     terms = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     top = terms.orderBy(F.desc("total"), "term").limit(max_features)
-    n = df.agg(F.count("*").alias("n"))
-    idf = top.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / length).alias("weight"))
+    return top.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_fit(df: DataFrame, key: str, text: str, max_features: int = 10_000, stop_words: Sequence[str] = STOP_WORDS) -> TfidfModel:
+    """Learn the ``max_features`` most frequent terms and their idf from training texts."""
+    counts = term_counts(df, key, text, stop_words)
+    return TfidfModel(settle(_learned(counts, df.agg(F.count("*").alias("n")), max_features)), stop_words)
+
+
+def tfidf(df: DataFrame, key: str, text: str, max_features: int = 10_000, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Fit and transform the same texts: (key, term, weight).
+
+    Texts are taken apart once: the counts are settled, ranked and weighted.
+    """
+    counts = settle(term_counts(df, key, text, stop_words))
+    return TfidfModel(settle(_learned(counts, df.agg(F.count("*").alias("n")), max_features)), stop_words)._weights(counts, key)
 
 
 def top_keywords(weights: DataFrame, key: str, n: int = 2) -> DataFrame:
@@ -124,15 +159,20 @@ def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = (
     return [x.strip() for x in out if x.strip()]
 
 
-def chunk_text(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """key, chunk_no (from 0) and chunk of every document."""
+@F.udtf(returnType="chunk_no int, chunk string", useArrow=True)
+class SplitText:
+    """A table function, its rows moved by Arrow: the pieces of ``split_text`` of each text, numbered from 0; a null or blank text has none."""
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda x: split_text(x or "", size, overlap))
+    def eval(self, text: str | None, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+        yield from enumerate(split_text(text or "", size, overlap))
 
-    return df.select(key, F.posexplode(pieces(F.col(text))).alias("chunk_no", "chunk"))
+
+def chunk_text(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """key, chunk_no (from 0) and chunk of every document: a lateral join with ``SplitText``."""
+    if size < 1 or overlap < 0:
+        raise ValueError("chunks have a character at least and carry none or some over")
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return rows.lateralJoin(SplitText(F.col("_text").outer(), F.lit(size), F.lit(overlap))).select(F.col("_key").alias(key), "chunk_no", "chunk")
 
 
 def chunk_fixed(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -163,47 +203,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, query_key: str, point_key: str, vector: str, block: int = 256) -> DataFrame:
-    """The k nearest points of every query by Euclidean distance: query key, point key, distance, rank.
-
-    Queries are numbered into blocks, and every block meets every partition of
-    the points; a task holds one block and a batch of points and keeps k
-    candidates a query, so it emits no more than k rows for each query.  Work
-    is queries times points, by definition of the exact search; ties go to the
-    smaller key.
-    """
-    from sparkworks.operators.table import with_position
-
-    placed = with_position(queries.select(F.col(query_key).alias("q"), F.col(vector).cast("array<double>").alias("v")), ["q"], "_at")
-    packed = placed.groupBy(F.floor(F.col("_at") / block).cast("long").alias("b")).agg(F.sort_array(F.collect_list(F.struct("q", "v"))).alias("qs"))
-    # Blocks of about 2000 points.
-    parts = max(1, points.count() // 2000)
-    packed_points = points.select(F.col(point_key).alias("p"), F.col(vector).cast("array<double>").alias("v")).filter("v is not null")
-    groups = packed_points.groupBy(F.pmod(F.xxhash64("p"), F.lit(parts)).alias("g")).agg(F.sort_array(F.collect_list(F.struct("p", "v"))).alias("ps"))
-    key_types = queries.schema[query_key].dataType.simpleString(), points.schema[point_key].dataType.simpleString()
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for qs, ps in zip(pdf["qs"], pdf["ps"], strict=True):
-                q, p = np.array([x["q"] for x in qs]), np.array([x["p"] for x in ps])
-                a, b = np.array([x["v"] for x in qs], np.float64), np.array([x["v"] for x in ps], np.float64)
-                rows = []
-                for at in range(len(a)):
-                    d = np.sqrt(((b - a[at]) ** 2).sum(axis=1))
-                    top = np.lexsort((p, d))[:k]
-                    rows.append(pd.DataFrame({"q": np.full(len(top), q[at]), "p": p[top], "distance": d[top]}))
-                yield pd.concat(rows)
-
-    met = groups.crossJoin(packed)
-    near = met.select("qs", "ps").mapInPandas(nearest, f"q {key_types[0]}, p {key_types[1]}, distance double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "p"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(f"query_{query_key}"), F.col("p").alias(point_key), "distance", "rank")
-
-
-def similarity_search(points: DataFrame, queries: DataFrame, k: int = 4, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    return knn_join(queries, points, k, key, key, vector)
-
-
 def bullet_join(column: Column, prefix: str = "- ") -> Column:
     """Items of an array, each after a prefix, one per line."""
     return F.array_join(F.transform(column, lambda x: F.concat(F.lit(prefix), x)), "\n")

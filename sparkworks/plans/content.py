@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from sparkworks.functions import scalar
+from sparkworks.functions import arrays, scalar
 from sparkworks.operators import finance, models, text
+from sparkworks.operators.ranges import shared_folder
 from sparkworks.plans.registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -50,6 +53,20 @@ def top_keywords_10000(t):
     return text.top_keywords(weights, "doc_id", 2)
 
 
+_LEARNED = (
+    f"terms AS ({_TERMS}), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), train AS (SELECT * FROM tf WHERE doc_id % 5 <> 0), top AS (SELECT term, count(*) AS df FROM train GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 10000), "
+    "raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 5 <> 0)) / (1 + df)) + 1) AS w FROM tf JOIN top USING (term) WHERE doc_id % 5 = 0)"
+)
+
+
+@query(f"WITH {_LEARNED} SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw")
+def tfidf_unseen(t):
+    """Learned on four fifths of the documents, saved, loaded and applied to the others."""
+    model = text.tfidf_fit(t.documents.filter("doc_id % 5 <> 0"), "doc_id", "text")
+    loaded = text.TfidfModel.load(t.spark, model.save(f"{shared_folder(t.spark).rstrip('/')}/tfidf-{uuid.uuid4().hex}"))
+    return loaded.transform(t.documents.filter("doc_id % 5 = 0"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+
+
 @query(f"SELECT DISTINCT term FROM ({_TERMS})")
 def vocab_terms(t):
     return text.vocabulary(text.tokenize(t.documents, "doc_id", "text"))
@@ -116,6 +133,39 @@ def k_distance(t):
     return models.k_distance(t.embeddings, _queries(t), 6, "vec_id", "embedding").withColumn("mean_distance", F.round("mean_distance", 5))
 
 
+@query()
+def vector_topk_approx(t):
+    """Four near vectors of each query through the inverted index; the tests hold its recall against the exact search."""
+    return text.build_index(t.embeddings, "vec_id", "embedding").search(_queries(t), 4, "vec_id", "embedding", "vec_id").withColumn("distance", F.round("distance", 5))
+
+
+_CELLS = "cells AS (SELECT vec_id AS i0, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i1, unnest(embedding) AS v FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings)"
+
+
+def _cells(t):
+    """The vectors as a matrix; their ids number them."""
+    return arrays.from_rows(t.embeddings, "vec_id", "embedding", (t.embeddings.count(), 64))
+
+
+@query(f"WITH {_CELLS} SELECT (i0 * 64 + i1) // 16 AS i0, (i0 * 64 + i1) // 4 % 4 AS i1, (i0 * 64 + i1) % 4 AS i2, v FROM cells")
+def array_reshape(t):
+    return arrays.reshape(_cells(t), (-1, 4, 4)).cells
+
+
+@query(f"WITH {_CELLS} SELECT i1 AS i0, i0 AS i1, v FROM cells")
+def array_transpose(t):
+    return arrays.transpose(_cells(t)).cells
+
+
+@query(f"WITH {_CELLS}, side AS (SELECT i0, i1, v FROM cells UNION ALL SELECT i0, i1 + 64, CAST(1 AS FLOAT) FROM cells WHERE i1 < 2) SELECT i0, i1, v FROM side UNION ALL SELECT i0 + n, i1, v FROM side, n")
+def array_stack(t):
+    """The vectors beside two columns of ones, and all of it twice, one below the other."""
+    a = _cells(t)
+    ones = arrays.ones(t.spark, (a.shape[0], 2))
+    side = arrays.hstack([a, arrays.CellArray(ones.cells.withColumn("v", F.col("v").cast("float")), ones.shape)])
+    return arrays.vstack([side, side]).cells
+
+
 @query("SELECT doc_id, array_to_string(['- ' || x for x in string_split(text, chr(10))], chr(10)) AS bullets FROM documents")
 def bullet_join(t):
     return t.documents.select("doc_id", text.bullet_join(F.split("text", "\n")).alias("bullets"))

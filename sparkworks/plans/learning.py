@@ -162,3 +162,8 @@ def pca_variance(t):
     rows = models.assemble(t.lineitem.select("l_quantity", "l_discount", "l_tax"), ["l_quantity", "l_discount", "l_tax"])
     x = vector_to_array("pca")
     return models.pca(rows, 2).transform(rows).agg(F.round(F.var_pop(x[0]), 6).alias("first"), F.round(F.var_pop(x[1]), 6).alias("second"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '-0'), o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders")
+def exact_folds(t):
+    return models.with_folds(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 5)

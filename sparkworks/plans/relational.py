@@ -7,17 +7,16 @@ import uuid
 from pyspark.sql import functions as F
 
 from sparkworks.operators import quality, table
+from sparkworks.operators.ranges import shared_folder
 from sparkworks.operators.stats import value_counts
 from sparkworks.plans.registry import query
 from sparkworks.sources import io
-from sparkworks.streaming import messages
+from sparkworks.streaming import messages, sinks
 
 
 def _scratch(t) -> str:
     """A fresh path in the folder that the cluster shares."""
-    import tempfile
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    root = shared_folder(t.spark)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
@@ -70,6 +69,39 @@ def message_ingest(t):
     return decoded.filter(~F.col("is_malformed")).select("event_id", "message")
 
 
+@query("SELECT CASE WHEN event_id % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS side, CASE WHEN event_id % 7 = 0 THEN '{broken ' || event_id ELSE event_type END AS text, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_split(t):
+    """Events as a stream of JSON messages, some broken, written by batch to two sinks and read back."""
+    folder = _scratch(t)
+    # A pattern, for a table may be one file or a folder of them.
+    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parque[t]")
+    broken = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{broken "), F.col("event_id").cast("string"))).otherwise(F.to_json(F.struct(F.col("event_type").alias("message"))))
+    sink = sinks.SplitSink(folder, ~F.col("is_malformed"))
+    sink.start(messages.decode_messages(source.select(broken.alias("value"))), f"{folder}/checkpoint").awaitTermination()
+    sides = [sink.read(t.spark, side).select(F.lit(side).alias("side"), F.coalesce("message", "value").alias("text")) for side in ("accepted", "rejected")]
+    return table.concat_rows(sides).groupBy("side", "text").agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT o_orderkey, ('0x' || md5(o_orderkey || '-5-0')[1:13])::BIGINT / 4503599627370496.0 AS u, round(sqrt(-2 * ln((('0x' || md5(o_orderkey || '-5-1')[1:13])::BIGINT + 0.5) / 4503599627370496.0)) * cos(2 * pi() * (('0x' || md5(o_orderkey || '-5-1')[14:26])::BIGINT / 4503599627370496.0)), 9) + 0.0 AS z, "
+    "CAST(floor(('0x' || md5(o_orderkey || '-5-2')[1:13])::BIGINT / 4503599627370496.0 * 6 + 1) AS BIGINT) AS die FROM orders"
+)
+def random_columns(t):
+    out = io.random_columns(t.orders.select("o_orderkey"), "o_orderkey", {"u": ("uniform",), "z": ("normal",), "die": ("integer", 1, 7)}, seed=5)
+    return out.withColumn("z", F.round("z", 9) + 0.0)
+
+
+_TURN = "(CASE WHEN i >= n // 2 THEN (i - n // 2) * 1.0 / (n - n // 2) ELSE i * 1.0 / (n // 2) END) * 2 * pi()"
+_NOISE = "0.1 * sqrt(-2 * ln((('0x' || md5(i || '-3-{0}')[1:13])::BIGINT + 0.5) / 4503599627370496.0)) * cos(2 * pi() * (('0x' || md5(i || '-3-{0}')[14:26])::BIGINT / 4503599627370496.0))"
+
+
+@query(f"SELECT i AS id, round(cos({_TURN}) * r + {_NOISE.format(0)}, 7) + 0.0 AS X1, round(sin({_TURN}) * r + {_NOISE.format(1)}, 7) + 0.0 AS X2, label FROM (SELECT *, CAST(i >= n // 2 AS INTEGER) AS label, CASE WHEN i >= n // 2 THEN 0.8 ELSE 1.0 END AS r FROM (SELECT count(*) OVER () AS n, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders))")
+def circles(t):
+    """As many points as there are orders."""
+    out = io.make_circles(t.spark, t.orders.count(), noise=0.1, factor=0.8, seed=3)
+    return out.select("id", (F.round("X1", 7) + 0.0).alias("X1"), (F.round("X2", 7) + 0.0).alias("X2"), "label")
+
+
 @query("SELECT page_id, len(regexp_extract_all(html, '<a[ >]')) AS n_links FROM pages")
 def html_links(t):
     return t.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<a[ >])"), F.lit(1))).cast("long").alias("n_links"))
@@ -246,7 +278,7 @@ def sort_mixed(t):
 @query("SELECT o_orderkey, p, row_number() OVER (ORDER BY p ASC NULLS LAST, o_orderkey DESC) AS rn FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders)")
 def sort_mixed_all(t):
     rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderpriority")).alias("p"))
-    placed = table.with_position(rows, [F.col("p").asc_nulls_last(), F.desc("o_orderkey")])
+    placed = table.with_position(rows, ["p", "o_orderkey"], ascending=[True, False], nulls_last=True)
     return placed.select("o_orderkey", "p", (F.col("position") + 1).alias("rn"))
 
 
@@ -265,6 +297,13 @@ def slice_rows(t):
     return table.slice_rows(t.orders, 100, 200, ["o_orderkey"]).select("o_orderkey", "position")
 
 
+@query("SELECT o_orderkey, position FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position, count(*) OVER () AS n FROM orders) WHERE position BETWEEN n // 2 AND n // 2 + 99")
+def deep_slice(t):
+    """A hundred rows from the middle of the table by falling price."""
+    middle = t.orders.count() // 2
+    return table.slice_by_position(t.orders, middle, middle + 99, ["o_totalprice", "o_orderkey"], ascending=[False, True]).select("o_orderkey", "position")
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS position FROM orders")
 def position(t):
     return table.with_position(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "position")

@@ -85,20 +85,46 @@ def range_table(spark: SparkSession, start: float, end: float, step: float | Non
     return spark.range(max(0, math.ceil((end - start) / step))).select((F.lit(start) + F.col("id") * F.lit(step)).alias(name))
 
 
-def random_table(spark: SparkSession, n: int, columns: dict[str, tuple], seed: int = 0) -> DataFrame:
-    """Seeded columns: ('uniform',), ('normal',) or ('integer', a, b) with values in [a, b)."""
-    out = spark.range(n)
+def random_bits(key: Column, seed: int, stream: int, half: int = 0) -> Column:
+    """A number of 52 bits that depends on key, seed and stream alone: digits of an md5, of which ``half`` picks a part."""
+    digest = F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed)), F.lit(str(stream))))
+    return F.conv(F.substring(digest, 1 + 13 * half, 13), 16, 10).cast("long")
+
+
+def random_uniform(key: Column, seed: int, stream: int = 0) -> Column:
+    """In [0, 1)."""
+    return random_bits(key, seed, stream) / F.lit(float(1 << 52))
+
+
+def random_normal(key: Column, seed: int, stream: int = 0) -> Column:
+    """Standard normal, from two uniform numbers (Box and Muller)."""
+    first = (random_bits(key, seed, stream) + F.lit(0.5)) / F.lit(float(1 << 52))
+    second = random_bits(key, seed, stream, 1) / F.lit(float(1 << 52))
+    return F.sqrt(-2 * F.log(first)) * F.cos(2 * math.pi * second)
+
+
+def random_columns(df: DataFrame, key: str, columns: dict[str, tuple], seed: int = 0) -> DataFrame:
+    """Seeded columns beside a key: ('uniform',), ('normal',) or ('integer', a, b) with values in [a, b).
+
+    A value depends on key, seed and the column's place, however the rows are
+    partitioned and whenever a task is run again.
+    """
+    out = {}
     for k, (name, (kind, *bounds)) in enumerate(columns.items()):
         if kind == "uniform":
-            value = F.rand(seed + k)
+            out[name] = random_uniform(F.col(key), seed, k)
         elif kind == "normal":
-            value = F.randn(seed + k)
+            out[name] = random_normal(F.col(key), seed, k)
         elif kind == "integer":
-            value = F.floor(F.rand(seed + k) * (bounds[1] - bounds[0]) + bounds[0])
+            out[name] = F.floor(random_uniform(F.col(key), seed, k) * (bounds[1] - bounds[0]) + bounds[0])
         else:
             raise ValueError(f"unknown kind {kind!r}")
-        out = out.withColumn(name, value)
-    return out
+    return df.withColumns(out)
+
+
+def random_table(spark: SparkSession, n: int, columns: dict[str, tuple], seed: int = 0) -> DataFrame:
+    """n rows with ids from 0 and ``random_columns``."""
+    return random_columns(spark.range(n), "id", columns, seed)
 
 
 def make_circles(spark: SparkSession, n: int, noise: float = 0.0, factor: float = 0.8, seed: int = 0) -> DataFrame:
@@ -107,7 +133,7 @@ def make_circles(spark: SparkSession, n: int, noise: float = 0.0, factor: float
     inner = F.col("id") >= outer
     turn = F.when(inner, (F.col("id") - outer) / F.lit(max(1, n - outer))).otherwise(F.col("id") / F.lit(max(1, outer))) * (2 * math.pi)
     radius = F.when(inner, F.lit(factor)).otherwise(F.lit(1.0))
-    point = lambda f, k: (f(turn) * radius + F.randn(seed + k) * noise)
+    point = lambda f, k: f(turn) * radius + random_normal(F.col("id"), seed, k) * noise
     return spark.range(n).select("id", point(F.cos, 0).alias("X1"), point(F.sin, 1).alias("X2"), inner.cast("int").alias("label"))
 
 
