@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkworks.llm.common import settle, tidy
+from sparkworks.operators.ranges import with_position
 
 #: Relative allowance for rounding in bounds; theirs is some 1e-13.
 SLACK = 1e-9
@@ -175,10 +176,10 @@ def top_products(df: DataFrame, asks: Column, k: int = 10, scale: int = 1024, id
     plain = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = plain.mapInArrow(_emit_integers(scale), "id long, asks boolean, dim int, norm double, ints binary").filter("dim > 0")
     rows = settle(rows.withColumn("uid", F.monotonically_increasing_id()))
-    parts = max(1, math.ceil(rows.count() / block))
     rotations = session.sparkContext.broadcast(fit_rotation(rows))
-    # Blocks by descending length; equal lengths are dealt by row.
-    blocks = settle(rows.repartitionByRange(parts, F.desc("norm"), "uid").withColumn("block", F.spark_partition_id()))
+    # Blocks of one size by descending length; equal lengths are dealt by row.
+    placed = with_position(rows, ["norm", "uid"], "_at", ascending=[False, True])
+    blocks = settle(placed.withColumn("block", F.floor(F.col("_at") / block).cast("int")))
     lengths = settle(blocks.groupBy("dim", "block").agg(F.max("norm").alias("longest")))
     last = lengths.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
     queries = settle(rows.filter("asks"))
@@ -198,7 +199,8 @@ def top_products(df: DataFrame, asks: Column, k: int = 10, scale: int = 1024, id
     judged = queries.join(bars, "uid", "left").withColumn("floor", F.when(F.col("m") >= k, F.col("low").cast("double")).otherwise(none))
     # A vector can reach the floor from this length on.
     judged = judged.withColumn("reach", F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(none))
-    judged = settle(judged.repartitionByRange(groups, "reach", "uid").withColumn("ask", F.spark_partition_id()).select("ask", "uid", "dim", "ints", "floor", "reach"))
+    judged = settle(judged.select("uid", "dim", "ints", "floor", "reach"))
+    judged = settle(with_position(judged, ["reach", "uid"], "_at").withColumn("ask", F.floor(F.col("_at") / asks_block).cast("int")).drop("_at"))
     need = judged.groupBy("ask", "dim").agg(F.min("reach").alias("reach"))
     pairs = need.select("ask", "dim", "reach", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("block")) if last else need.select("ask", "dim", "reach", F.lit(0).alias("block")).limit(0)
     pairs = settle(pairs.join(lengths, ["dim", "block"]).filter(F.col("longest") * (1 + SLACK) >= F.col("reach")).select("ask", "block").distinct())
