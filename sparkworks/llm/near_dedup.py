@@ -10,12 +10,15 @@ node.  A node picks each of the 64 places with probability 1 / (0.75 * 64)
 (a root) or ``BRANCHING`` times that (a node below), and a class goes to one
 child per picked place, named by its token there; so two classes at the
 threshold share one child of a root and 1.5 of another node on average, and
-dissimilar ones seldom share any.  A node of at most ``node_limit`` classes (and ``node_shingles``
+dissimilar ones seldom share any.  A place is picked once on a path.  A node of at most ``node_limit`` classes (and ``node_shingles``
 shingles, which bounds what a task holds) is compared exhaustively; a larger
-one branches again, by one place at least.  A large node that keeps nine
-tenths of its parent's classes is a group that branching does not part: it is
-compared in blocks that share hubs, and what these leave unconnected once more
-in tiles, where every pair meets.  Independent trees, each with its own choices,
+one branches again, by one place at least, while that is of use: where its
+children together hold as many pairs as it does, or nearly, its classes are
+about as like one another as those that are sought.  Such a node is compared
+as it is, in blocks that share hubs, and what these leave unconnected once more
+in tiles, where every pair meets.  Of such nodes those that have half of their
+classes in a larger one are one with it, so a group is compared once, not once
+for each node that it has come to.  Independent trees, each with its own choices,
 bring the share of links found to the target: a pair at the threshold is in a
 common root child with probability 1 - 0.25 ** (places picked by all roots).
 As nodes below the roots pass on more than one child of a pair on average, the
@@ -44,8 +47,8 @@ from sparkworks.llm.textnum import Words, gram_hashes, mix, run_starts, uniform,
 
 SHINGLE = 5
 PLACES = 64
-#: A large node with this share of its parent's classes does not branch again.
-KEEPS = 0.9
+#: A large node whose children would, at the usual number of places, hold this share of its pairs is compared as it is.
+GAIN = 0.9
 #: Children below the roots that two classes at the threshold share on average; above 1, or deep pairs are lost.
 BRANCHING = 1.5
 #: Tiles have few classes beside the texts: up to so many (node, class) rows, of some 40 bytes, meet the texts by broadcast.
@@ -114,11 +117,23 @@ def picked_places(nodes: np.ndarray, threshold: float, share: float = 1.0) -> np
     return uniform(keys.ravel(), 1).reshape(keys.shape) < share / (threshold * PLACES)
 
 
-def branched_places(nodes: np.ndarray, threshold: float) -> np.ndarray:
-    """The places that nodes branch by: those picked, or one by hash where none is, so that no node ends without a child."""
-    picked = picked_places(nodes, threshold, BRANCHING)
-    bare = np.flatnonzero(~picked.any(axis=1))
-    picked[bare, (mix(nodes[bare].astype(np.uint64) ^ np.uint64(0xB4A5)) % np.uint64(PLACES)).astype(np.int64)] = True
+def branched_places(nodes: np.ndarray, threshold: float, used: np.ndarray | None = None) -> np.ndarray:
+    """The places that nodes branch by: those picked, or one by hash where none is, so that no node ends without a child.
+
+    ``used`` has the places of a node's path as bits.  They are not picked
+    again, for a child by one of them is the node itself; the others are
+    picked so much more often.
+    """
+    if used is None:
+        used = np.zeros(len(nodes), np.uint64)
+    free = (used[:, None] >> np.arange(PLACES, dtype=np.uint64)) & np.uint64(1) == 0
+    open_ = np.maximum(free.sum(axis=1), 1)
+    keys = mix(nodes.astype(np.uint64))[:, None] + np.arange(PLACES, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    picked = free & (uniform(keys.ravel(), 1).reshape(keys.shape) < BRANCHING / (threshold * open_[:, None]))
+    bare = np.flatnonzero(~picked.any(axis=1) & free.any(axis=1))
+    if len(bare):
+        turn = (mix(nodes[bare].astype(np.uint64) ^ np.uint64(0xB4A5)) % open_[bare].astype(np.uint64)).astype(np.int64)
+        picked[bare, ((np.cumsum(free[bare], axis=1) == turn[:, None] + 1) & free[bare]).argmax(axis=1)] = True
     return picked
 
 
@@ -130,6 +145,11 @@ def root_keys(trees: int) -> np.ndarray:
     return mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x51A7))
 
 
+#: Columns of a level: a node, a class in it and its shingles, the node's path, its parent and how many classes that has.
+LEVEL = ["node", "set", "size", "used", "parent", "was"]
+_LEVEL = "node long, set long, size int, used long, parent long, was long"
+
+
 def _sketch_table(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), PLACES)
 
@@ -143,7 +163,9 @@ def _grow_roots(trees: int, threshold: float):
             table = _sketch_table(batch["sketch"])
             keys = np.concatenate([child_keys(np.full(len(table), roots[t]), np.full(len(table), p), table[:, p]) for t, p in zip(tree, place, strict=True)] or [np.zeros(0, np.uint64)])
             sets, sizes = (np.tile(batch[c].to_numpy(), len(tree)) for c in ("set", "n_shingles"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets), pa.array(sizes.astype(np.int32)), pa.array(np.zeros(len(keys), np.int64))], ["node", "set", "size", "was"])
+            used = np.repeat(np.uint64(1) << place.astype(np.uint64), len(table)).view(np.int64)
+            none = pa.array(np.zeros(len(keys), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sets), pa.array(sizes.astype(np.int32)), pa.array(used), none, none], LEVEL)
 
     return run
 
@@ -152,10 +174,12 @@ def _grow(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table, node = _sketch_table(batch["sketch"]), batch["node"].to_numpy().view(np.uint64)
-            nodes, inverse = np.unique(node, return_inverse=True)
-            row, place = np.nonzero(branched_places(nodes, threshold)[inverse])
+            used = batch["used"].to_numpy().view(np.uint64)
+            nodes, first, inverse = np.unique(node, return_index=True, return_inverse=True)
+            row, place = np.nonzero(branched_places(nodes, threshold, used[first])[inverse])
             keys = child_keys(node[row], place, table[row, place])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(batch[c].to_numpy()[row]) for c in ("set", "size", "n"))], ["node", "set", "size", "was"])
+            path = used[row] | (np.uint64(1) << place.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(batch[c].to_numpy()[row]) for c in ("set", "size")), pa.array(path.view(np.int64)), *(pa.array(batch[c].to_numpy()[row]) for c in ("node", "n"))], LEVEL)
 
     return run
 
@@ -297,45 +321,77 @@ def _confirm(least: float, percent: int):
 def near_links(classes: DataFrame, texts: DataFrame, percent: int = 75, trees: int = 6, node_limit: int = 4096, node_shingles: int = 4_000_000, depth_limit: int = 24) -> DataFrame:
     """Confirmed links (a, b) between classes that connect all classes which links connect.
 
-    ``classes`` has set, sketch and the id of a member, ``texts`` ids and texts.  A large node
-    that branching does not part (or that is left after ``depth_limit`` branchings) is split by
+    ``classes`` has set, sketch, n_shingles and the id of a member, ``texts`` ids and texts.  Nodes
+    that branching does not part (or that are left after ``depth_limit`` branchings) are split by
     rank into blocks, each with the node's 64 first classes besides.  What is not connected then
-    meets in tiles of two parts of the node, so that no pair goes uncompared and no task gets an
-    unbounded group.
+    meets in tiles, so that no pair goes uncompared and no task gets an unbounded group.
     """
     threshold = percent / 100
     least = threshold - 4 * (threshold * (1 - threshold) / PLACES) ** 0.5
-    level = classes.select("set", "sketch", "n_shingles").mapInArrow(_grow_roots(trees, threshold), "node long, set long, size int, was long")
+    fitting, crowds = grown(classes, threshold, trees, node_limit, node_shingles, depth_limit)
+    if crowds is None:
+        return _compare(fitting, classes, texts, least, percent)
+    crowds = merged(crowds)
+    links = settle(_compare(fitting.unionByName(_blocks(crowds, node_limit, node_shingles)), classes, texts, least, percent))
+    found = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
+    labelled = settle(crowds.join(found, "set", "left").withColumn("label", F.coalesce("label", "set")))
+    open_ = settle(tiles(labelled, node_limit, node_shingles))
+    if open_.isEmpty():
+        return links
+    return links.unionByName(_compare(open_, classes, texts, least, percent))
+
+
+def grown(classes: DataFrame, threshold: float, trees: int, node_limit: int, node_shingles: int, depth_limit: int, rows: list[int] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(nodes that fit a task, nodes that branching does not part): rows (node, set), and (node, set, size) or None.
+
+    ``rows`` gets the number of rows of each level.
+    """
+    level = classes.select("set", "sketch", "n_shingles").mapInArrow(_grow_roots(trees, threshold), _LEVEL)
     fitting: DataFrame | None = None
     crowds: DataFrame | None = None
+    above: DataFrame | None = None
     for depth in range(depth_limit + 1):
         level = settle(level)
-        sizes = settle(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(set))").alias("who"), F.max("was").alias("was")).filter("n > 1"))
+        if rows is not None:
+            rows.append(level.count())
+        sizes = settle(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(set))").alias("who"), F.any_value("parent").alias("parent"), F.any_value("used").alias("used"), F.max("was").alias("was")).filter("n > 1"))
+        if above is not None:
+            # What a place holds on average, and as many places as a node picks on average.
+            pairs = sizes.groupBy("parent").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("held"), F.count_distinct("used").alias("places"), F.max("was").alias("was"))
+            usual = F.col("held") / F.col("places") * (BRANCHING / threshold)
+            stuck = settle(pairs.filter(usual >= GAIN * F.col("was") * (F.col("was") - 1)).select(F.col("parent").alias("node")))
+            if not stuck.isEmpty():
+                crowd = above.join(stuck, "node").select("node", "set", "size")
+                crowds = crowd if crowds is None else crowds.unionByName(crowd)
+                sizes = sizes.join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti")
         # Two classes are compared whatever their size.
         small_enough = (F.col("n") <= 2) | ((F.col("n") <= node_limit) & (F.col("shingles") <= node_shingles))
         fits = level.join(_once(sizes.filter(small_enough)).select("node"), "node").select("node", "set")
         fitting = fits if fitting is None else fitting.unionByName(fits)
-        large = sizes.filter(~small_enough)
+        large = sizes.filter(~small_enough).select("node", "n")
         if large.isEmpty():
             break
-        # Equal nodes are one only where they are compared: while they branch, each is a chance of its own.
-        ends = F.lit(depth == depth_limit) | ((F.col("was") > 0) & (F.col("n") >= KEEPS * F.col("was")))
-        stuck = settle(_once(large.filter(ends)))
-        if not stuck.isEmpty():
-            crowd = level.select("node", "set").join(stuck, "node")
+        above = level.join(large, "node").select("node", "set", "size", "used", "n")
+        if depth == depth_limit:
+            crowd = above.select("node", "set", "size")
             crowds = crowd if crowds is None else crowds.unionByName(crowd)
-        level = level.select("node", "set", "size").join(large.filter(~ends).select("node", "n"), "node").join(classes.select("set", "sketch"), "set")
-        level = level.select("node", "set", "sketch", "size", "n").mapInArrow(_grow(threshold), "node long, set long, size int, was long")
-    if crowds is None:
-        return _compare(fitting, classes, texts, least, percent)
-    links = settle(_compare(fitting.unionByName(_blocks(crowds, node_limit, node_shingles)), classes, texts, least, percent))
-    found = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
-    labelled = settle(crowds.join(found, "set", "left").withColumn("label", F.coalesce("label", "set")))
-    mixed = labelled.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
-    mixed = settle(mixed)
-    if mixed.isEmpty():
-        return links
-    return links.unionByName(_compare(_tiles(labelled.join(mixed, "node"), node_limit, node_shingles), classes, texts, least, percent))
+        # Equal nodes are one only where they are compared: while they branch, each is a chance of its own.
+        level = above.join(classes.select("set", "sketch"), "set").mapInArrow(_grow(threshold), _LEVEL)
+    return fitting, crowds
+
+
+def merged(crowds: DataFrame) -> DataFrame:
+    """Large nodes, where those with half of their classes in a larger one are one with it: node, set, size, n, shingles."""
+    rows = settle(crowds.distinct())
+    of_node = rows.groupBy("node").agg(F.count("*").alias("n"))
+    placed = rows.select("node", "set").join(of_node, "node")
+    homes = settle(placed.groupBy("set").agg(F.max(F.struct("n", "node")).alias("home")).select("set", F.col("home.node").alias("home")))
+    votes = placed.join(homes, "set").groupBy("node", "n", "home").agg(F.count("*").alias("m"))
+    goes = votes.filter((F.col("home") != F.col("node")) & (2 * F.col("m") >= F.col("n"))).groupBy("node").agg(F.max(F.struct("m", "home")).alias("to"))
+    found = components(goes.select(F.col("node").alias("a"), F.col("to.home").alias("b"))).select("node", F.col("component").alias("whole"))
+    one = rows.join(found, "node", "left").select(F.coalesce("whole", "node").alias("node"), "set", "size").distinct()
+    one = settle(one)
+    return one.join(one.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "node")
 
 
 def _once(sizes: DataFrame) -> DataFrame:
@@ -368,12 +424,23 @@ def _blocks(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
     return hubs.unionByName(rest).distinct().select(F.xxhash64("node", "block").alias("node"), "set")
 
 
-def _tiles(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
-    """Too large nodes cut into parts by hash, one tile for each two parts: any two classes of a node meet in one."""
-    parts = F.greatest(F.lit(2), F.ceil(2 * F.col("n") / limit), F.ceil(2 * F.col("shingles") / shingles)).cast("int")
-    own = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", "set", F.lit(2)), F.col("parts")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
-    return met.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "set", "label")
+def tiles(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
+    """(node, set, label): tiles in which any two classes of a large node with different labels meet.
+
+    Where one label has nearly all classes, the others, half a tile of them at
+    most, meet each part of it: these tiles have two rows a class.  Other nodes
+    are cut into parts by hash, with one tile for each two parts.
+    """
+    each = rows.groupBy("node", "label").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    sums = each.groupBy("node").agg(F.max(F.struct("m", "s", "label")).alias("top"), F.sum("m").alias("n"), F.sum("s").alias("shingles"), F.count("*").alias("labels")).filter("labels > 1")
+    thin = (2 * (F.col("n") - F.col("top.m")) <= limit) & (2 * (F.col("shingles") - F.col("top.s")) <= shingles)
+    parts = F.greatest(F.when(thin, 1).otherwise(2), F.ceil(2 * F.col("n") / limit), F.ceil(2 * F.col("shingles") / shingles)).cast("int")
+    sums = settle(sums.select("node", F.col("top.label").alias("top"), thin.alias("thin"), parts.alias("parts")))
+    own = rows.select("node", "set", "label").join(sums, "node").withColumn("part", F.pmod(F.xxhash64("node", "set", F.lit(2)), F.col("parts")).cast("int"))
+    to = F.when(F.col("thin") & (F.col("label") == F.col("top")), F.array("part")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = own.withColumn("other", F.explode(to)).filter(F.col("thin") | (F.col("other") != F.col("part")))
+    tile = F.when(F.col("thin"), F.xxhash64("node", "other")).otherwise(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")))
+    return met.select(tile.alias("node"), "set", "label")
 
 
 def near_dedup(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", trees: int = 6, node_limit: int = 4096, depth_limit: int = 24) -> DataFrame:

@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from sparkworks.llm import near_dedup as n
 from sparkworks.llm.common import settle
@@ -111,8 +113,8 @@ def test_pairs_of_an_unparted_node_meet(spark):
     shared = spark.createDataFrame(rows, "doc_id long, text string")
     plain = shared.select(shared.doc_id.alias("id"), "text")
     classes = settle(plain.mapInArrow(n._emit_sketches([]), "id long, n_shingles long, set long, sketch binary"))
-    crowd = classes.selectExpr("7L as node", "set", "set as label", "120L as n", "11520L as shingles")
-    found = n._compare(n._tiles(crowd, 4096, 2000), classes, plain, 0.5, 75)
+    crowd = classes.selectExpr("7L as node", "set", "set as label", "cast(n_shingles as int) as size")
+    found = n._compare(n.tiles(crowd, 4096, 2000), classes, plain, 0.5, 75)
     ids = {r["set"]: r["id"] for r in classes.collect()}
     assert {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in found.collect()} == {(2 * k, 2 * k + 1) for k in range(60)}
 
@@ -154,3 +156,84 @@ def test_rows_that_stay(spark, odd, none):
     assert len(fives) == 1 and fives[0] in (b, b + " and")
     assert sorted((x for x in kept if x[0] != 5), key=repr) == sorted([(1, a), (None, a), (8, None), (8, ""), (9, "few")], key=repr)
     assert n.drop_near_duplicates(none).count() == 0
+
+
+def test_tiles_of_one_label_and_few_others(spark):
+    """Rows of the common label are copied once, and each of the others meets all of them and one another."""
+    rows = [(1, k, 9 if k < 900 else k, 10) for k in range(905)] + [(2, k, 5, 10) for k in range(50)]
+    crowd = spark.createDataFrame(rows, "node long, set long, label long, size int")
+    got = n.tiles(crowd, 100, 10_000).collect()
+    assert {r["set"] for r in got} == set(range(905))
+    groups = {}
+    for r in got:
+        groups.setdefault(r["node"], set()).add(r["set"])
+    assert sum(len(g & set(range(900))) for g in groups.values()) == 900
+    assert all(set(range(900, 905)) <= g and len(g) < 110 for g in groups.values())
+
+
+def test_nodes_that_share_most_classes_are_one(spark):
+    a, b, c = range(0, 1000), range(400, 1100), range(5000, 5600)
+    crowds = spark.createDataFrame([(k, s, 3) for k, own in ((1, a), (2, b), (3, c), (4, range(990, 1400))) for s in own], "node long, set long, size int")
+    found = {}
+    for r in n.merged(crowds).collect():
+        found.setdefault((r["node"], r["n"], r["shingles"]), set()).add(r["set"])
+    assert {frozenset(v) for v in found.values()} == {frozenset(range(1100)), frozenset(c), frozenset(range(990, 1400))}
+    assert all(k[1] == len(v) and k[2] == 3 * len(v) for k, v in found.items())
+
+
+def test_paths_use_a_place_once():
+    nodes = n.root_keys(3000)
+    used = np.arange(3000, dtype=np.uint64) * np.uint64(0x1234567) | np.uint64(1 << 63)
+    picked = n.branched_places(nodes, 0.75, used)
+    bits = (used[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    assert picked.any(axis=1).all() and not (picked & (bits == 1)).any()
+    assert abs(picked.sum(axis=1).mean() - 2.1) < 0.2
+    full = np.full(3, (1 << 64) - 1, np.uint64)
+    assert not n.branched_places(nodes[:3], 0.75, full).any()
+
+
+def crowd_of(spark, size, alike, seed):
+    """Classes whose tokens agree with those of one text as often as its near copies' do."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 32, n.PLACES, dtype=np.uint64)
+    tokens = np.where(rng.random((size, n.PLACES)) < alike, base, rng.integers(0, 1 << 32, (size, n.PLACES), dtype=np.uint64)).astype(np.uint32)
+    rows = [(k + 1, x.tobytes(), 400) for k, x in enumerate(tokens)]
+    return spark.createDataFrame(rows, "set long, sketch binary, n_shingles long"), tokens
+
+
+@pytest.mark.parametrize("size,alike", [(6_000, 0.82), (6_000, 0.87), (10_000, 0.82), (20_000, 0.82), (20_000, 0.87)])
+def test_groups_of_near_copies_do_not_grow(spark, size, alike):
+    classes, _ = crowd_of(spark, size, alike, size)
+    rows = []
+    fitting, crowds = n.grown(settle(classes), 0.75, 6, 4096, 4_000_000, 24, rows)
+    assert max(rows) <= 4 * rows[0] and len(rows) <= 3
+    fits = fitting.groupBy("node").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * F.col("m"))).first()
+    whole = n.merged(crowds)
+    one = whole.groupBy("node").agg(F.count("*").alias("m")).collect()
+    assert len(one) == 1 and 0.99 * size <= one[0]["m"] <= size
+    blocks = n._blocks(whole, 4096, 4_000_000).groupBy("node").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * F.col("m"))).first()
+    # At worst nothing is linked yet when the tiles are made.
+    worst = n.tiles(whole.withColumn("label", F.col("set")), 4096, 4_000_000).groupBy("node").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.col("m") * F.col("m")), F.max("m")).first()
+    copies = (blocks[0] + worst[0] + (fits[0] or 0)) / size
+    print(size, alike, "rows by level", rows, "copies of a set", round(copies, 1), "of all pairs", round((blocks[1] + worst[1] + (fits[1] or 0)) / size**2, 2))
+    assert copies <= 11.5 and worst[0] <= 10 * size and worst[1] <= 2.2 * size**2 and worst[2] <= 4096 * 1.2
+
+
+def test_recall_at_the_threshold_whatever_the_depth(spark):
+    """Pairs at the threshold, planted among classes that are somewhat alike, meet in a node that is compared."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 32, n.PLACES, dtype=np.uint64)
+    pairs, size = 400, 1600
+    first = np.where(rng.random((size, n.PLACES)) < 0.55, base, rng.integers(0, 1 << 32, (size, n.PLACES), dtype=np.uint64))
+    second = np.where(rng.random((pairs, n.PLACES)) < 0.75, first[:pairs], rng.integers(0, 1 << 32, (pairs, n.PLACES), dtype=np.uint64))
+    tokens = np.concatenate((first, second)).astype(np.uint32)
+    classes = settle(spark.createDataFrame([(k, x.tobytes(), 400) for k, x in enumerate(tokens)], "set long, sketch binary, n_shingles long"))
+    for limit in (400, 100, 30):
+        rows = []
+        fitting, crowds = n.grown(classes, 0.75, 6, limit, 10**9, 24, rows)
+        nodes = {}
+        for r in (fitting if crowds is None else fitting.unionByName(crowds.select("node", "set"))).collect():
+            nodes.setdefault(r["node"], set()).add(r["set"])
+        met = sum(any(k in g and size + k in g for g in nodes.values()) for k in range(pairs))
+        print("limit", limit, "rows by level", rows, "met", met, "of", pairs)
+        assert met >= 0.95 * pairs
