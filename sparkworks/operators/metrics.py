@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkworks.operators.ranges import settle
 from sparkworks.sources.io import write_csv
 
 
@@ -17,11 +18,12 @@ def confusion_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
     return both.groupBy("label", "pred").agg(F.count("*").alias("n"))
 
 
-def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """All pairs of the classes that occur as label or prediction, with their counts."""
-    counts = confusion_counts(df, label, pred)
+def confusion_matrix(df: DataFrame, label: str, pred: str, most: int = 1000) -> DataFrame:
+    """All pairs of the classes that occur as label or prediction, with their counts; more than ``most`` classes raise a ValueError."""
+    counts = settle(confusion_counts(df, label, pred))
     names = counts.select(F.col("label").alias("c")).union(counts.select(F.col("pred").alias("c"))).distinct()
-    # The grid of the classes, which are few.
+    if names.limit(most + 1).count() > most:
+        raise ValueError(f"there are more than {most} classes: too many for a matrix")
     grid = names.select(F.col("c").alias("label")).crossJoin(F.broadcast(names.select(F.col("c").alias("pred"))))
     return grid.join(counts, ["label", "pred"], "left").select("label", "pred", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -116,6 +116,31 @@ def bernoulli_counts(df: DataFrame, label: str, features: Sequence[str]) -> Data
     return long.select("class", "feature", F.log((F.col("ones") + 1) / (F.col("n") + 2)).alias("log_prob"), F.log(F.col("n") / F.col("all")).alias("log_prior"))
 
 
+def bernoulli_terms(present: DataFrame, labels: DataFrame, terms: DataFrame, key: str, label: str) -> DataFrame:
+    """A fitted model in long form: class, term, log_one, log_zero, log_prior for every class and each of the given terms.
+
+    ``present`` has a row (key, term) for each different term of a document,
+    and ``labels`` a row (key, label) for each document.  The classes are few
+    and the terms as many as were chosen; their grid is broadcast by neither.
+    """
+    held = labels.select(key, F.col(label).alias("class"))
+    sizes = held.groupBy("class").agg(F.count("*").alias("n"))
+    total = held.agg(F.count("*").alias("all"))
+    ones = present.join(held, key).groupBy("class", "term").agg(F.count("*").alias("ones"))
+    grid = terms.select("term").crossJoin(F.broadcast(sizes.crossJoin(total)))
+    p = (F.coalesce("ones", F.lit(0)) + 1) / (F.col("n") + 2)
+    return grid.join(ones, ["class", "term"], "left").select("class", "term", F.log(p).alias("log_one"), F.log(1 - p).alias("log_zero"), F.log(F.col("n") / F.col("all")).alias("log_prior"))
+
+
+def bernoulli_predict(present: DataFrame, keys: DataFrame, model: DataFrame, key: str) -> DataFrame:
+    """(key, pred, score): the class of the highest log probability, the smallest of equals, for documents with no term too."""
+    base = model.groupBy("class").agg((F.any_value("log_prior") + F.sum("log_zero")).alias("base"))
+    gain = model.select("class", "term", (F.col("log_one") - F.col("log_zero")).alias("gain"))
+    gains = present.join(gain, "term").groupBy(key, "class").agg(F.sum("gain").alias("gain"))
+    scored = keys.select(key).crossJoin(F.broadcast(base)).join(gains, [key, "class"], "left").withColumn("score", F.col("base") + F.coalesce("gain", F.lit(0.0)))
+    return scored.groupBy(key).agg(F.min_by("class", F.struct(-F.col("score"), F.col("class"))).alias("pred"), F.max("score").alias("score"))
+
+
 def gaussian_nb(**params) -> NaiveBayes:
     return NaiveBayes(modelType="gaussian", **params)
 
@@ -132,10 +157,15 @@ def linear_svm(n_rows: int, c: float = 1.0, **params) -> LinearSVC:
     return LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, **params)
 
 
+def fourier_weights(gamma: float, dims: int, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (n, dims) and shifts of random Fourier features."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, np.sqrt(2 * gamma), (n, dims)), rng.uniform(0, 2 * np.pi, n)
+
+
 def fourier_features(df: DataFrame, vector: str, gamma: float, dims: int, n: int = 100, seed: int = 0, name: str = "fourier") -> DataFrame:
     """Random Fourier features of the RBF kernel exp(-gamma |x - y|^2): sqrt(2 / n) cos(w x + b)."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (n, dims)), rng.uniform(0, 2 * np.pi, n)
+    w, b = fourier_weights(gamma, dims, n, seed)
     x = vector_to_array(vector)
     rows = F.array(*(F.array(*(F.lit(float(v)) for v in [*row, shift])) for row, shift in zip(w, b, strict=True)))
     wave = lambda r: F.cos(F.aggregate(F.zip_with(F.slice(r, 1, dims), x, lambda u, v: u * v), F.element_at(r, -1), lambda s, v: s + v))

@@ -41,7 +41,7 @@ def info(df: DataFrame) -> DataFrame:
 
 def select_dtypes(df: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """Columns by kind: 'number', 'string', 'boolean' or 'datetime'."""
-    kinds = {"number": T.NumericType, "string": T.StringType, "boolean": T.BooleanType, "datetime": T.DatetimeType if hasattr(T, "DatetimeType") else (T.DateType, T.TimestampType, T.TimestampNTZType)}
+    kinds = {"number": T.NumericType, "string": T.StringType, "boolean": T.BooleanType, "datetime": (T.DateType, T.TimestampType, T.TimestampNTZType)}
     if (include is None) == (exclude is None):
         raise ValueError("give either include or exclude")
     kind = kinds[include or exclude]
@@ -163,9 +163,10 @@ def nsmallest(df: DataFrame, n: int, column: str, key: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).orderBy(column, key).limit(n)
 
 
-def shuffle_rows(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A permutation that depends on keys and seed alone."""
-    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), key)
+def shuffle_rows(df: DataFrame, key: str, seed: int, name: str | None = None) -> DataFrame:
+    """A permutation that depends on keys and seed alone; with ``name`` the rows have their new place in a column."""
+    digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    return with_position(df, [digest, key], name) if name else df.orderBy(digest, key)
 
 
 def argmax(array: Column) -> Column:

@@ -284,6 +284,24 @@ def transform_pipeline(t):
     return prep.transform_apply(rows, fitted).select("l_returnflag", F.size(values).alias("n"), F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 4).alias("s")).groupBy("l_returnflag", "n").agg(F.round(F.sum("s"), 1).alias("s"))
 
 
+_PREPARED = (
+    "r AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, CASE WHEN l_linenumber <> 2 THEN l_discount END AS d, l_returnflag AS f FROM lineitem), x AS (SELECT *, d / nullif(q, 0) AS ratio FROM r), "
+    "m AS (SELECT l_orderkey, l_linenumber, f, coalesce(q, (SELECT median(q) FROM x)) AS q, coalesce(d, (SELECT median(d) FROM x)) AS d, coalesce(ratio, (SELECT median(ratio) FROM x)) AS ratio FROM x)"
+)
+
+
+@query(f"WITH {_PREPARED} SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) + 0.0 AS {c}" for c in ("q", "d", "ratio")) + ", CAST(f = 'A' AS DOUBLE) AS is_a, CAST(f = 'N' AS DOUBLE) AS is_n, CAST(f = 'R' AS DOUBLE) AS is_r, 6 + 1 AS size FROM m")
+def transform_vectors(t):
+    """The same pipeline, each vector's entries as columns; the last entry is that of values never seen."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.col("l_quantity").alias("q"), F.when(F.col("l_linenumber") != 2, F.col("l_discount")).alias("d"), F.col("l_returnflag").alias("f"))
+    fitted = prep.transform_pipeline(rows, "key", {"ratio": ("d", "q")}, ["f"])
+    v = vector_to_array("features")
+    out = prep.transform_apply(rows, fitted).select(F.split("key", "-").alias("k"), v.alias("v"))
+    return out.select(F.col("k")[0].cast("long").alias("l_orderkey"), F.col("k")[1].cast("int").alias("l_linenumber"), *((F.round(F.col("v")[i], 5) + 0.0).alias(c) for i, c in enumerate(("q", "d", "ratio"))), *(F.col("v")[i].alias(c) for i, c in ((3, "is_a"), (4, "is_n"), (5, "is_r"))), F.size("v").alias("size"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-(l_quantity - 25) / 10)), 8) AS p, CAST(1 / (1 + exp(-(l_quantity - 25) / 10)) > 0.5 AS INTEGER) AS label FROM lineitem")
 def sigmoid_threshold(t):
     p = prep.sigmoid((F.col("l_quantity") - 25) / 10)

@@ -13,9 +13,9 @@ from sparkworks.plans.registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 #: DuckDB's \\w is ASCII, so the classes are written out.
-_TERMS = f"SELECT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}')) AS term FROM documents) WHERE term NOT IN ({_STOP})"
+TERMS = f"SELECT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}')) AS term FROM documents) WHERE term NOT IN ({_STOP})"
 _WEIGHTS = (
-    f"terms AS ({_TERMS}), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), top AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 1000), "
+    f"terms AS ({TERMS}), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), top AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 1000), "
     "raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN top USING (term)), "
     "weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"
 )
@@ -26,7 +26,7 @@ _ALL_WEIGHTS = _WEIGHTS.replace("LIMIT 1000)", "LIMIT 10000)")
 # --- text ---------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, term, count(*) AS tf FROM ({_TERMS}) GROUP BY 1, 2")
+@query(f"SELECT doc_id, term, count(*) AS tf FROM ({TERMS}) GROUP BY 1, 2")
 def token_counts(t):
     return text.term_counts(t.documents, "doc_id", "text")
 
@@ -54,7 +54,7 @@ def top_keywords_10000(t):
 
 
 _LEARNED = (
-    f"terms AS ({_TERMS}), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), train AS (SELECT * FROM tf WHERE doc_id % 5 <> 0), top AS (SELECT term, count(*) AS df FROM train GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 10000), "
+    f"terms AS ({TERMS}), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), train AS (SELECT * FROM tf WHERE doc_id % 5 <> 0), top AS (SELECT term, count(*) AS df FROM train GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 10000), "
     "raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM documents WHERE doc_id % 5 <> 0)) / (1 + df)) + 1) AS w FROM tf JOIN top USING (term) WHERE doc_id % 5 = 0)"
 )
 
@@ -67,7 +67,7 @@ def tfidf_unseen(t):
     return loaded.transform(t.documents.filter("doc_id % 5 = 0"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
-@query(f"SELECT DISTINCT term FROM ({_TERMS})")
+@query(f"SELECT DISTINCT term FROM ({TERMS})")
 def vocab_terms(t):
     return text.vocabulary(text.tokenize(t.documents, "doc_id", "text"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from sparkworks.operators import metrics, models, prep
+from sparkworks.operators import metrics, models, prep, text
+from sparkworks.operators.ranges import settle
+from sparkworks.plans.content import TERMS
 from sparkworks.plans.registry import query
 
 #: A rule that guesses the order status from the price.
@@ -111,6 +113,82 @@ def gaussian_nb_stats(t):
     return models.gaussian_nb_stats(t.lineitem, "l_returnflag", ["l_quantity", "l_discount"]).select("class", "feature", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
 
 
+_CODES = f"(SELECT CASE label WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS a, CASE pred WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS b FROM {GUESS})"
+
+
+@query(f"SELECT round(avg((a - b) * (a - b)), 8) AS mse, round(avg(abs(a - b)), 8) AS mae FROM {_CODES}")
+def code_errors(t):
+    """Errors on class codes."""
+    code = lambda c: prep.map_values(F.col(c), {"F": 0, "O": 1, "P": 2}).alias(c)
+    return metrics.code_errors(guess(t).select(code("label"), code("pred")), "label", "pred").select(F.round("mse", 8).alias("mse"), F.round("mae", 8).alias("mae"))
+
+
+def _spam(t):
+    """Different terms of labelled documents, their labels, and the 2000 most frequent terms."""
+    docs = t.documents.join(t.labels, "doc_id")
+    counts = settle(text.term_counts(docs, "doc_id", "text"))
+    return counts.select("doc_id", "term"), docs.select("doc_id", "quality"), settle(counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(2000).select("term"))
+
+
+_NB = (
+    f"d AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)), w AS (SELECT doc_id, term, count(*) AS tf FROM ({TERMS}) WHERE doc_id IN (SELECT doc_id FROM d) GROUP BY 1, 2), top AS (SELECT term FROM w GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 2000), "
+    "c AS (SELECT quality AS class, count(*) AS n FROM d GROUP BY 1), o AS (SELECT quality AS class, term, count(*) AS ones FROM w JOIN d USING (doc_id) GROUP BY 1, 2), "
+    "p AS (SELECT class, term, (coalesce(ones, 0) + 1) / (n + 2) AS p, ln(n / (SELECT count(*) FROM d)) AS prior FROM c CROSS JOIN top LEFT JOIN o USING (class, term))"
+)
+
+
+@query(f"WITH {_NB} SELECT class, term, round(ln(p), 6) AS log_one, round(ln(1 - p), 6) AS log_zero, round(prior, 6) AS log_prior FROM p")
+def bernoulli_nb_terms(t):
+    """Naive Bayes on whether a document has each of the 2000 most frequent terms."""
+    present, labels, terms = _spam(t)
+    return models.bernoulli_terms(present, labels, terms, "doc_id", "quality").select("class", "term", *(F.round(c, 6).alias(c) for c in ("log_one", "log_zero", "log_prior")))
+
+
+@query(
+    f"WITH {_NB}, b AS (SELECT class, any_value(prior) + sum(ln(1 - p)) AS base FROM p GROUP BY 1), g AS (SELECT doc_id, class, sum(ln(p) - ln(1 - p)) AS gain FROM w JOIN p USING (term) GROUP BY 1, 2), "
+    "s AS (SELECT doc_id, class, base + coalesce(gain, 0) AS score FROM d CROSS JOIN b LEFT JOIN g USING (doc_id, class)) SELECT doc_id, arg_max(class, score) AS pred, round(max(score), 3) AS score FROM s GROUP BY 1"
+)
+def bernoulli_nb_predict(t):
+    present, labels, terms = _spam(t)
+    model = settle(models.bernoulli_terms(present, labels, terms, "doc_id", "quality"))
+    return models.bernoulli_predict(present, labels, model, "doc_id").withColumn("score", F.round("score", 3))
+
+
+_WAVES = models.fourier_weights(0.5, 3, 8, seed=2)
+
+
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(0.5 * cos({w[0]!r} * l_quantity / 50 + {w[1]!r} * l_discount * 10 + {w[2]!r} * l_tax * 10 + {b!r}), 6) + 0.0 AS f{k}" for k, (w, b) in enumerate(zip(_WAVES[0].tolist(), _WAVES[1].tolist(), strict=True))) + " FROM lineitem")
+def fourier_features(t):
+    """The features on which the machine with the radial kernel is fitted."""
+    rows = models.assemble(t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 10).alias("c")), ["a", "b", "c"])
+    wave = vector_to_array("fourier")
+    return models.fourier_features(rows, "features", 0.5, 3, 8, seed=2).select("l_orderkey", "l_linenumber", *((F.round(wave[k], 6) + 0.0).alias(f"f{k}") for k in range(8)))
+
+
+@query()
+def rbf_model(t):
+    """Orders inside a ring of price and date, which no line parts, told by Fourier features and a linear machine."""
+    a, b = (F.col("o_totalprice") / 100000 - 1.5) * 2, F.pmod(F.col("o_orderkey"), F.lit(100)) / 25 - 2
+    rows = t.orders.select(F.col("o_orderkey").cast("string").alias("key"), a.alias("a"), b.alias("b")).withColumn("label", (F.col("a") * F.col("a") + F.col("b") * F.col("b") < 1.5).cast("double"))
+    rows = settle(models.fourier_features(models.assemble(rows, ["a", "b"]), "features", 0.7, 2, 100))
+    train, test = prep.train_test_split(rows, "key", 0.2, seed=4)
+    _, predicted, _ = models.fit_model(models.rbf_svm(train.count()), train, test, "label", classifier=True)
+    return metrics.confusion_matrix(predicted, "label", "prediction")
+
+
+@query()
+def boosting_model(t):
+    return _accuracy(t, lambda train: models.gradient_boosting(rounds=20))
+
+
+@query()
+def l1_descent_prices(t):
+    """Price by quantity, both scaled, by subgradient descent."""
+    rows = t.lineitem.select((F.col("l_quantity") / 50.0).alias("x"), (F.col("l_extendedprice") / 100000.0).alias("y"))
+    weight, bias, trace = models.linear_l1_gd(rows, "x", "y", lr=0.05, epochs=40)
+    return t.spark.createDataFrame([(k, float(v), float(weight), float(bias)) for k, v in trace], "epoch int, loss double, weight double, bias double")
+
+
 @query()
 def l1_descent(t):
     """Slope and intercept by subgradient descent on scaled prices."""
@@ -120,8 +198,9 @@ def l1_descent(t):
 
 
 def _features(t):
+    """Assembled rows; settled, for fitting reads them again and again."""
     rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), (F.col("l_extendedprice") > 35000).cast("double").alias("label"), "l_quantity", "l_discount", "l_tax")
-    return models.assemble(rows, ["l_quantity", "l_discount", "l_tax"])
+    return settle(models.assemble(rows, ["l_quantity", "l_discount", "l_tax"]))
 
 
 def _accuracy(t, estimator):
@@ -142,12 +221,12 @@ def tree_model(t):
 
 @query()
 def forest_model(t):
-    return _accuracy(t, lambda train: models.random_forest(trees=10, maxDepth=4))
+    return _accuracy(t, lambda train: models.random_forest())
 
 
 @query()
 def svm_model(t):
-    return _accuracy(t, lambda train: models.linear_svm(train.count(), maxIter=20))
+    return _accuracy(t, lambda train: models.linear_svm(train.count()))
 
 
 @query()

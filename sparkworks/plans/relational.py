@@ -107,6 +107,24 @@ def html_links(t):
     return t.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<a[ >])"), F.lit(1))).cast("long").alias("n_links"))
 
 
+_TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+
+
+@query(f"SELECT page_id, CASE WHEN contains(html, '<title>') THEN '* ' || {_TITLE} END AS title, CAST(len(regexp_extract_all(html, '<li[ >]')) AS INTEGER) AS n_items FROM pages")
+def html_elements(t):
+    """Titles and list items by the parser; the pages nest neither, so a pattern finds the same."""
+    titles = io.extract_elements(t.pages, "html", "title", limit=1, prefix="* ", out="titles")
+    return io.extract_elements(titles, "html", "li", out="items").select("page_id", F.get("titles", F.lit(0)).alias("title"), F.size("items").alias("n_items"))
+
+
+@query("SELECT s AS status, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = s AND o_totalprice > 50000) AS found FROM (SELECT DISTINCT substring(n_name, 1, 1) AS s FROM nation)")
+def exists_scalar(t):
+    """Whether any order has a status and a price, for each letter that a nation begins with."""
+    letters = [r[0] for r in t.nation.select(F.substring("n_name", 1, 1)).distinct().collect()]
+    found = [(x, table.exists(t.orders, (F.col("o_orderstatus") == x) & (F.col("o_totalprice") > 50000))) for x in letters]
+    return t.spark.createDataFrame(found, "status string, found boolean")
+
+
 @query()
 def html_paragraphs(t):
     """The first five paragraphs of each page, by a parser that minds nesting; SQL has none."""
@@ -316,8 +334,7 @@ def nsmallest(t):
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || '-7'), o_orderkey) - 1 AS place FROM orders")
 def shuffle_hash(t):
-    hashed = t.orders.select("o_orderkey", F.md5(F.concat_ws("-", F.col("o_orderkey").cast("string"), F.lit("7"))).alias("h"))
-    return table.with_position(hashed, ["h", "o_orderkey"], "place").select("o_orderkey", "place")
+    return table.shuffle_rows(t.orders, "o_orderkey", 7, name="place").select("o_orderkey", "place")
 
 
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS arg_max, CAST(list_position(embedding, list_min(embedding)) - 1 AS BIGINT) AS arg_min FROM embeddings")
