@@ -107,7 +107,7 @@ def html_links(t):
     return t.pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<a[ >])"), F.lit(1))).cast("long").alias("n_links"))
 
 
-_TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+_TITLE = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g'))"
 
 
 @query(f"SELECT page_id, CASE WHEN contains(html, '<title>') THEN '* ' || {_TITLE} END AS title, CAST(len(regexp_extract_all(html, '<li[ >]')) AS INTEGER) AS n_items FROM pages")
