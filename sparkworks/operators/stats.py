@@ -57,10 +57,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         # A row per column on either side.
         q = [F.get("q", F.lit(k)).alias(name) for k, name in enumerate(("p25", "p50", "p75"))]
         parts = [wide.select(F.explode(F.array(*items)).alias("i")).select("i.*").join(F.broadcast(quarters.select("column", *q)), "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")]
-    for c in columns:
-        if c not in numeric:
-            freq = df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").cast("string").alias("v")).agg(F.count("*").alias("n"))
-            parts.append(freq.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count("*").alias("unique"), F.min_by("v", F.struct(-F.col("n"), "v")).alias("top"), F.max("n").alias("freq")))
+    text = [c for c in columns if c not in numeric]
+    if text:
+        # One scan for all text columns: each value beside its column's place.
+        cells = F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(text)))
+        freq = df.select(F.inline(cells)).filter("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+        found = freq.groupBy("c").agg(F.sum("n").alias("count"), F.count("*").alias("unique"), F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"), F.max("n").alias("freq"))
+        names = df.sparkSession.createDataFrame(list(enumerate(text)), "c int, column string")
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        parts.append(names.join(found, "c", "left").select("column", zero("count"), zero("unique"), "top", "freq"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
