@@ -225,7 +225,9 @@ class VectorIndex:
 
     def save(self, path: str) -> None:
         spark = self.cells.sparkSession
-        self.cells.repartition("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/cells")
+        # By ranges of cell and key, so that a cell with most points is dealt to many tasks.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.cells.repartitionByRange(parts, "cell", F.xxhash64("p")).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/cells")
         spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(self.centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
         spark.createDataFrame([(self.probes,)], "probes int").coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
 
