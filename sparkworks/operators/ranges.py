@@ -88,7 +88,7 @@ def bucket_of(bounds: Column, most: int, reached) -> Column:
 
 
 def _ranges(df: DataFrame, order: Order, parts: int) -> DataFrame:
-    """One row: ``_bounds`` of at most ``parts`` ranges, ``_first``, the first rank of each, and ``_total``."""
+    """One row with a struct ``__ranges``: ``bounds`` of at most ``parts`` ranges and ``first``, the first rank of each."""
     keys = settle(df.select(*order.columns()))
     named = order.named()
     total = keys.count()
@@ -100,20 +100,20 @@ def _ranges(df: DataFrame, order: Order, parts: int) -> DataFrame:
     bounds = picked.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", *(f"k{i}" for i in range(len(order.keys)))))), lambda x: F.struct(*(x[f"k{i}"].alias(f"k{i}") for i in range(len(order.keys))))).alias("_bounds"))
     bounds = settle(bounds)
     counts = keys.crossJoin(F.broadcast(bounds)).select(bucket_of(F.col("_bounds"), parts, named.reached).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    held = counts.agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("_total"))
+    held = counts.agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     running = F.aggregate(F.sequence(F.lit(0), F.size("_bounds")), F.array(F.lit(0).cast("long")), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(F.try_element_at("m", b), F.lit(0)))))
-    return settle(bounds.crossJoin(held).select("_bounds", running.alias("_first"), "_total"))
+    return settle(bounds.crossJoin(held).select(F.struct(F.col("_bounds").alias("bounds"), running.alias("first")).alias("__ranges")))
 
 
 def _placed(df: DataFrame, order: Order, ranges: DataFrame, parts: int, name: str, within: tuple[int, int] | None = None) -> DataFrame:
     """Rows with their rank; ``within`` leaves all ranges out that hold no rank from its first number to its last."""
-    rows = df.crossJoin(F.broadcast(ranges)).withColumn("_bucket", bucket_of(F.col("_bounds"), parts, order.reached))
-    begin = F.get("_first", F.col("_bucket"))
+    rows = df.crossJoin(F.broadcast(ranges)).withColumn("__bucket", bucket_of(F.col("__ranges.bounds"), parts, order.reached))
+    begin = F.get("__ranges.first", F.col("__bucket"))
     if within is not None:
-        rows = rows.filter((begin <= within[1]) & (F.get("_first", F.col("_bucket") + 1) > within[0]))
+        rows = rows.filter((begin <= within[1]) & (F.get("__ranges.first", F.col("__bucket") + 1) > within[0]))
     # One range is one partition, and the lower bits of the number count its rows.
-    rows = rows.withColumn("_begin", begin).drop("_bounds", "_first", "_total").repartitionById(parts, F.col("_bucket")).sortWithinPartitions(*order.sort())
-    return rows.withColumn(name, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.col("_begin")).drop("_bucket", "_begin")
+    rows = rows.withColumn("__begin", begin).drop("__ranges").repartitionById(parts, F.col("__bucket")).sortWithinPartitions(*order.sort())
+    return rows.withColumn(name, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.col("__begin")).drop("__bucket", "__begin")
 
 
 def _parts(df: DataFrame) -> int:
@@ -144,12 +144,12 @@ def with_rank_in(df: DataFrame, group: str, order: Sequence[str | Column], name:
     group's first one, so a group of most rows is spread like any other.  Only
     the groups' counts meet in one task.
     """
-    counts = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.orderBy(F.col("_group").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = settle(counts.withColumn("_before", before))
-    placed = with_position(df, [group, *order], "_place")
-    out = placed.join(F.broadcast(counts) if counts.count() <= 100_000 else counts, placed[group].eqNullSafe(counts["_group"]))
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_place") - F.col("_before")).alias(name), *([F.col("_size").alias(size)] if size else []))
+    counts = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy(F.col("__group").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = settle(counts.withColumn("__before", before))
+    placed = with_position(df, [group, *order], "__place")
+    out = placed.join(F.broadcast(counts) if counts.count() <= 100_000 else counts, placed[group].eqNullSafe(counts["__group"]))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__place") - F.col("__before")).alias(name), *([F.col("__size").alias(size)] if size else []))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:

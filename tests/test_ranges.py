@@ -114,6 +114,15 @@ def test_no_task_holds_a_column(spark):
     assert ranges.quantiles(big, ["v"], (0.1, 0.5)).first()["q"] == pytest.approx(want)
 
 
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(3, "a", 1, 2, 3), (1, "b", 1, 2, 3), (2, "a", 1, 2, 3)], "k0 int, _group string, _bounds int, _first int, n int")
+    placed = table.with_position(df, ["k0"], "at")
+    assert placed.columns == [*df.columns, "at"] and {r["k0"]: r["at"] for r in placed.collect()} == {1: 0, 2: 1, 3: 2}
+    ranked = ranges.with_rank_in(df, "_group", ["k0"], "_size", size="all")
+    assert {r["k0"]: (r["_size"], r["all"]) for r in ranked.collect()} == {1: (0, 1), 2: (0, 2), 3: (1, 2)}
+    assert {r["column"] for r in ranges.quantiles(df, ["k0", "n"], (0.5,)).collect()} == {"k0", "n"}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert table.with_position(none, ["k"]).count() == 0
