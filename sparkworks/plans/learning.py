@@ -246,3 +246,15 @@ def pca_variance(t):
 @query("SELECT o_orderkey, o_orderpriority, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '-0'), o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM orders")
 def exact_folds(t):
     return models.with_folds(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 5)
+
+
+@query(
+    "WITH c AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c, avg(x) AS mx, avg(y) AS my FROM (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem)), e AS (SELECT *, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) AS v, (a + c) / 2 - sqrt(power((a - c) / 2, 2) + b * b) AS w FROM c) "
+    "SELECT l_orderkey, l_linenumber, round(abs((b * (l_quantity - mx) + (v - a) * (l_extendedprice / 1000 - my)) / sqrt(b * b + power(v - a, 2))), 6) AS first, round(v / (v + w), 8) AS share FROM lineitem, e"
+)
+def pca_pair(t):
+    """The first principal component of two columns, up to its sign, and its share of the variance, which have a closed form."""
+    rows = models.assemble(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price")), ["l_quantity", "price"])
+    fitted = models.pca(rows, 2)
+    first = vector_to_array("pca")[0]
+    return fitted.transform(rows).select("l_orderkey", "l_linenumber", F.round(F.abs(first), 6).alias("first"), F.round(F.lit(float(fitted.explained_variance[0])), 8).alias("share"))
