@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkworks.llm.common import lower_ascii, partitions, settle, shared_folder, tidy
+from sparkworks.llm.common import lower_ascii, settle, shared_folder, tidy
 from sparkworks.llm.textnum import _BASE, _BASE_INV, _BYTE, gram_hashes, mix, powers, run_starts, text_buffers
+from sparkworks.operators.ranges import with_rank_in
 
 #: One gram in so many is a trigger.
 TRIGGER = np.uint64(16)
@@ -265,9 +266,6 @@ def collocations(df: DataFrame, least: int = 30, longest: int = 4, top: int = 20
         covered = F.expr(f"CAST(longer AS DECIMAL(19, 0)) * 100 >= CAST(a AS DECIMAL(19, 0)) * {cover}")
         scored = scored.join(parts, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | ~covered)
     scored = settle(scored.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").cast("long").alias("score")))
-    order = F.desc("score"), F.desc("a"), F.col("phrase")
-    # The first of parts of a language, then the first of these: no task ranks a whole language.
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(partitions(df)))
-    near = scored.withColumn("_salt", salt).withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).filter(F.col("_place") <= top)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(totals.withColumnRenamed("total", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # Ranks over the whole table, less those of the languages before: no task ranks a language.
+    ranked = with_rank_in(scored, "lang", [-F.col("score"), -F.col("a"), "phrase"], "_place").filter(F.col("_place") < top)
+    return ranked.join(totals.withColumnRenamed("total", "n"), "lang").select("lang", (F.col("_place") + 1).cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
