@@ -4,7 +4,8 @@ A text becomes words that start with the blank mark (U+2581); no piece of the
 vocabulary crosses into the next word.  Distinct words of equal length advance
 together: the hashes of all their substrings are looked up in the sorted keys
 of the pieces, and for each end position a vectorised maximum over the pieces
-that end there stores a backpointer.
+that end there stores a backpointer.  Very long words, which have no others of
+their length to advance with, are joined by the model's definition instead.
 
 For a unigram model the maximum is over sums of scores.  A BPE model joins
 neighbours in the order of the joined pieces' scores, and the result is not
@@ -20,6 +21,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ _CUT = "\ue000"  # stands between words while a batch is split; texts that hold
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|^[^{BLANK}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FAR = 1 << 60
+#: BPE words of more characters are joined one by one, in time n log n.
+ALONE = 256
 
 
 def _model_type(proto: bytes) -> int:
@@ -122,6 +126,7 @@ class PieceModel:
         several = np.flatnonzero(~special & (self.length[:n] > 1))
         _, place = np.unique(-self.score[several], return_inverse=True)
         self.rank[several] = place
+        self.ranks = self.rank.tolist()
         self.by_text = {self.pieces[k]: k for k in np.flatnonzero(~special).tolist()}
         self.left, self.right = np.full(n + 1, n, np.int64), np.full(n + 1, n, np.int64)
         self.reachable = np.ones(n, bool)
@@ -133,15 +138,37 @@ class PieceModel:
                 self.left[k], self.right[k] = ids
 
     def join(self, word: str, stop: int = 1) -> list[str]:
-        """BPE by its definition, one word; ends early when ``stop`` parts are left."""
+        """BPE by its definition, one word: the pair of the least rank is joined first, the leftmost of equals; ends early when ``stop`` parts are left.
+
+        Pairs wait in a heap by rank and place.  An entry whose pair has changed meanwhile is passed over, so the time is that of sorting the word.
+        """
+        n, get, ranks, longest = len(word), self.by_text.get, self.ranks, self.longest
         parts = list(word)
-        while len(parts) > stop:
-            ranked = [(self.rank[k], i) for i in range(len(parts) - 1) if (k := self.by_text.get(parts[i] + parts[i + 1])) is not None]
-            if not ranked:
-                break
-            i = min(ranked)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [ranks[k] << 40 | i for i in range(n - 1) if (k := get(word[i : i + 2])) is not None]
+        heapify(waiting)
+        left = n
+        while waiting and left > stop:
+            top = heappop(waiting)
+            i = top & (1 << 40) - 1
+            j = after[i]
+            if not parts[i] or j >= n:
+                continue
+            both = parts[i] + parts[j]
+            k = get(both)
+            if k is None or ranks[k] != top >> 40:
+                continue
+            parts[i], parts[j] = both, ""
+            left -= 1
+            h, j = before[i], after[j]
+            after[i] = j
+            if j < n:
+                before[j] = i
+                if len(both) + len(parts[j]) <= longest and (k := get(both + parts[j])) is not None:
+                    heappush(waiting, ranks[k] << 40 | i)
+            if h >= 0 and len(parts[h]) + len(both) <= longest and (k := get(parts[h] + both)) is not None:
+                heappush(waiting, ranks[k] << 40 | h)
+        return [p for p in parts if p]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece ids of substring hashes, -1 where there is none."""
@@ -189,8 +216,8 @@ class PieceModel:
         """Ids of the words, one after the other, and ids per word."""
         size = np.array([len(w) for w in words], np.int64)
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-        # Runs of blanks hold pieces of one rank, which only the definition puts in order.
-        odd = np.array([self.is_bpe and BLANK * 2 in w for w in words], bool)
+        # Runs of blanks hold pieces of one rank, which only the definition puts in order; a very long word has none to advance with.
+        odd = np.array([self.is_bpe and (len(w) > ALONE or BLANK * 2 in w) for w in words], bool)
         for k in np.flatnonzero(odd).tolist():
             out[k] = np.concatenate([[self.by_text[p]] if p in self.by_text else self._bytes(p) for p in self.join(words[k])])
         for length in np.unique(size[~odd]).tolist():

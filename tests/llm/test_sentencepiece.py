@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 
 import numpy as np
@@ -48,3 +50,28 @@ def test_unigram_maxima(tmp_path):
         score = lambda x: sum(model.score[k] for k in x)
         assert abs(score(ids) - score(library.encode(text))) < 1e-3
         assert "".join(model.pieces[k] for k in ids) == s.BLANK + text.replace(" ", s.BLANK)
+
+
+def test_hostile_texts():
+    """Runs of blanks and words of a MB take seconds, and are what the library makes of them."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    model = s.piece_model(PATH)
+    rng = random.Random(7)
+    letters = "".join(rng.choice("etaoinshrdlucm") for _ in range(1_000_000))
+    for text in (" " * 100_000, "x" + " " * 30_000 + "y" + " " * 70_001, letters, "ab" * 500_000, "中é" * 50_000, "😀" * 20_000):
+        began = time.perf_counter()
+        words, _ = s.split_words(pa.array([text]))
+        ids = model.encode_words(words.to_pylist())[0]
+        took = time.perf_counter() - began
+        assert ids.tolist() == library.encode(text)
+        assert took < 15, (text[:5], took)  # 5 on an idle machine
+
+
+def test_both_ways_of_long_words_agree(monkeypatch):
+    rng = random.Random(8)
+    words = [s.BLANK + "".join(rng.choice("etaoinshrdluBPE0é") for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+    model = s.piece_model(PATH)
+    want = [x.tolist() for x in model.encode_words(words)]
+    for alone in (0, 10_000):
+        monkeypatch.setattr(s, "ALONE", alone)
+        assert [x.tolist() for x in model.encode_words(words)] == want
