@@ -2,20 +2,23 @@
 
 Ranks come from ranges with stated bounds.  A sample of the keys gives the
 bounds, counting the keys by range gives each range's first rank, and both are
-arrays in one row that is broadcast: their size is the number of partitions,
-not of rows.  After that a row's range is a binary search in its own task, the
+literals of the plan: they are as many as there are partitions, whatever the
+rows.  After that a row's range is a binary search in its own task, the
 same at every run, so rows need not be kept to be counted and numbered alike:
 only the key columns are settled.
 """
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sampled keys for each range.
 PER_RANGE = 64
@@ -87,8 +90,8 @@ def bucket_of(bounds: Column, most: int, reached) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
 
 
-def _ranges(df: DataFrame, order: Order, parts: int) -> DataFrame:
-    """One row with a struct ``__ranges``: ``bounds`` of at most ``parts`` ranges and ``first``, the first rank of each."""
+def _ranges(df: DataFrame, order: Order, parts: int) -> tuple[Column, list[int]]:
+    """The bounds of at most ``parts`` ranges as an array of structs, and the first rank of each range, with the row count at last."""
     keys = settle(df.select(*order.columns()))
     named = order.named()
     total = keys.count()
@@ -96,24 +99,27 @@ def _ranges(df: DataFrame, order: Order, parts: int) -> DataFrame:
     # About PER_RANGE * parts rows, numbered in one task.
     numbered = sample.withColumn("at", F.row_number().over(Window.orderBy(*named.sort()))).withColumn("n", F.count("*").over(Window.partitionBy()))
     wide = F.greatest(F.ceil(F.col("n") / parts), F.lit(1))
-    picked = numbered.filter((F.col("at") - 1) % wide == 0).filter("at > 1")
-    bounds = picked.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", *(f"k{i}" for i in range(len(order.keys)))))), lambda x: F.struct(*(x[f"k{i}"].alias(f"k{i}") for i in range(len(order.keys))))).alias("_bounds"))
-    bounds = settle(bounds)
-    counts = keys.crossJoin(F.broadcast(bounds)).select(bucket_of(F.col("_bounds"), parts, named.reached).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    held = counts.agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    running = F.aggregate(F.sequence(F.lit(0), F.size("_bounds")), F.array(F.lit(0).cast("long")), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + F.coalesce(F.try_element_at("m", b), F.lit(0)))))
-    return settle(bounds.crossJoin(held).select(F.struct(F.col("_bounds").alias("bounds"), running.alias("first")).alias("__ranges")))
+    picked = numbered.filter((F.col("at") - 1) % wide == 0).filter("at > 1").orderBy("at").limit(parts).collect()
+    kind = T.ArrayType(T.StructType(keys.schema.fields))
+    bounds = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in keys.schema)) for r in picked)).cast(kind)
+    held = {r["b"]: r["n"] for r in keys.select(bucket_of(bounds, len(picked), named.reached).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
+    first = [0]
+    for b in range(len(picked) + 1):
+        first.append(first[-1] + held.get(b, 0))
+    return bounds, first
 
 
-def _placed(df: DataFrame, order: Order, ranges: DataFrame, parts: int, name: str, within: tuple[int, int] | None = None) -> DataFrame:
+def _placed(df: DataFrame, order: Order, ranges: tuple[Column, list[int]], parts: int, name: str, within: tuple[int, int] | None = None) -> DataFrame:
     """Rows with their rank; ``within`` leaves all ranges out that hold no rank from its first number to its last."""
-    rows = df.crossJoin(F.broadcast(ranges)).withColumn("__bucket", bucket_of(F.col("__ranges.bounds"), parts, order.reached))
-    begin = F.get("__ranges.first", F.col("__bucket"))
+    bounds, first = ranges
+    rows = df.withColumn("__bucket", bucket_of(bounds, len(first) - 2, order.reached))
     if within is not None:
-        rows = rows.filter((begin <= within[1]) & (F.get("__ranges.first", F.col("__bucket") + 1) > within[0]))
+        wanted = [b for b in range(len(first) - 1) if first[b] <= within[1] and first[b + 1] > within[0]]
+        rows = rows.filter(F.col("__bucket").between(min(wanted, default=0), max(wanted, default=-1)))
     # One range is one partition, and the lower bits of the number count its rows.
-    rows = rows.withColumn("__begin", begin).drop("__ranges").repartitionById(parts, F.col("__bucket")).sortWithinPartitions(*order.sort())
-    return rows.withColumn(name, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.col("__begin")).drop("__bucket", "__begin")
+    begin = F.get(F.array(*(F.lit(x).cast("long") for x in first)), F.col("__bucket"))
+    rows = rows.repartitionById(parts, F.col("__bucket")).sortWithinPartitions(*order.sort())
+    return rows.withColumn(name, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + begin).drop("__bucket")
 
 
 def _parts(df: DataFrame) -> int:
@@ -160,13 +166,17 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
     looked at again, and there values are counted and the counts added up in order.  So no task holds a column.
     """
     columns = list(columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n long, q array<double>")
     cuts = F.array(*(F.lit((k + 1) / CUTS) for k in range(CUTS - 1)))
-    # The bounds are approximate, so they are settled: counting and choosing must use the same.
-    bounds = settle(df.agg(*(F.array_distinct(F.percentile_approx(F.col(f"`{c}`").cast("double"), cuts, F.lit(20 * CUTS))).alias(f"c{i}") for i, c in enumerate(columns))))
-    reached = lambda x: lambda bound: bound < x  # noqa: E731  equal values are in one range
-    cells = [F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v"), bucket_of(F.coalesce(F.col(f"_b.c{i}"), F.array().cast("array<double>")), CUTS, reached(F.col(f"`{c}`").cast("double"))).alias("b")) for i, c in enumerate(columns)]
-    row = bounds.select(F.struct(*bounds.columns).alias("_b"))
-    long = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys(columns))).crossJoin(F.broadcast(row)).select(F.inline(F.array(*cells))).filter("v is not null")
+    wide = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
+    # At most CUTS numbers a column; they are approximate, so counting and choosing use these same.
+    found = wide.agg(*(F.percentile_approx(c, cuts, F.lit(20 * CUTS)).alias(c) for c in wide.columns)).first()
+    splits = [[-math.inf, *(sorted({x for x in found[c] or () if math.isfinite(x)}) or [0.0]), math.inf] for c in wide.columns]
+    places = [f"b{i}" for i in range(len(columns))]
+    placed = Bucketizer(splitsArray=splits, inputCols=wide.columns, outputCols=places, handleInvalid="keep").transform(wide)
+    cells = [F.struct(F.lit(i).alias("c"), F.col(f"c{i}").alias("v"), F.col(f"b{i}").cast("int").alias("b")) for i in range(len(columns))]
+    long = placed.select(F.inline(F.array(*cells))).filter("v is not null")
     counts = settle(long.groupBy("c", "b").agg(F.count("*").alias("n")))  # CUTS rows a column
     up_to = Window.partitionBy("c").orderBy("b")
     counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("c"))).withColumn("end", F.sum("n").over(up_to))
