@@ -260,7 +260,8 @@ def fn_string(t):
     "WITH a AS (SELECT vec_id, [CAST(round(x * 10) AS INTEGER) for x in embedding] AS a FROM embeddings) SELECT vec_id, a[1] AS first, a[-1] AS last, CAST(list_sum(a[2:4]) AS INTEGER) AS mid, CAST(list_sum(a[1:64:2]) AS INTEGER) AS step, list_reverse(a)[1] AS rev, CAST(list_sum(list_append(a, 5)) AS INTEGER) AS appended, CAST(list_sum(list_concat(a, a)) AS INTEGER) AS doubled, len(list_filter(a, lambda x: x = 0)) AS zeros, coalesce(list_position(a, 1) - 1, -1) AS place, list_min(a) AS low, list_max(a) AS high, len(list_distinct(a)) AS kinds, list_contains(a, 2) AS has_two, CAST(list_sum([x * x for x in a]) AS INTEGER) AS squares, len(list_filter(a, lambda x: x > 0)) AS positive, array_to_string(a, ',') AS text FROM a"
 )
 def fn_array(t):
-    a = F.transform("embedding", lambda x: F.round(x.cast("double") * 10).cast("int"))
+    # The product is a float's as in the SQL: in doubles 0.15 * 10 lies above or below the tie that floats meet.
+    a = F.transform("embedding", lambda x: F.round(x * F.lit(10).cast("float")).cast("int"))
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
     rows = t.embeddings.select("vec_id", a.alias("a"))
     a = F.col("a")

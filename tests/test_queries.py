@@ -4,6 +4,9 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sparkworks.plans import analytics, content, learning, relational  # noqa: F401
@@ -48,3 +51,13 @@ def test_all_sorted_rows(spark):
     assert [r["rn"] for r in rows] == list(range(1, orders + 1))
     nulls = [r["p"] is None for r in rows]
     assert any(nulls) and nulls == sorted(nulls)
+
+
+def test_array_rounding_at_ties(spark, tmp_path):
+    """Floats next to a tie round as their float products do."""
+    tie = np.arange(-99, 100, 2, dtype=np.float32) / np.float32(20)
+    near = np.stack([tie, np.nextafter(tie, np.float32(9)), np.nextafter(tie, np.float32(-9)), tie + 1], axis=1)
+    pq.write_table(pa.table({"vec_id": np.arange(len(near)), "embedding": pa.array(near.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * len(near), pa.int32())}), f"{tmp_path}/embeddings.parquet")
+    reader = duckdb.connect().sql(ORACLE_SQL["fn_array"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'")).arrow()
+    want = (reader.read_all() if hasattr(reader, "read_all") else reader).to_pylist()
+    assert table(QUERIES["fn_array"](spark, str(tmp_path)).toArrow().to_pylist()) == table(want)
