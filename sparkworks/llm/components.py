@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkworks.llm.common import settle
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step of the alternating star algorithm on edges (u, v) with u > v.
+#: Edges to a task: rounds of a small table have few tasks, however many parts the session deals shuffles into.
+EDGES = 100_000
+
+
+def _stars(edges: DataFrame, large: bool, parts: int, few: bool) -> DataFrame:
+    """One step of the alternating star algorithm on edges (u, v) with u > v, left in at most ``parts`` parts.
 
     Minima are settled before they are joined, so that the join can split the
-    edges of a node that has most of them.
+    edges of a node that has most of them; where there are ``few``, they are broadcast.
     """
+    near = F.broadcast if few else lambda df: df
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")))
-        return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    least = settle(edges.groupBy("u").agg(F.min("v").alias("m")))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = settle(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")).coalesce(parts))
+        return both.join(near(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().coalesce(parts)
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts))
+    moved = edges.join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -34,12 +41,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a is not null and b is not null and a <> b").distinct()
     now, seen = settle(now), None
+    n = now.count()
     for _ in range(max_rounds):
-        now = settle(_stars(settle(_stars(now, True)), False))
+        # Every step leaves as many edges as it was given, or fewer.
+        parts, few = max(4, math.ceil(n / EDGES)), n <= EDGES
+        now = settle(_stars(settle(_stars(now.coalesce(parts), True, parts, few)), False, parts, few))
         mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38, 0)))")).first()
         if mark == seen:
             break
-        seen = mark
+        seen, n = mark, mark[0]
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

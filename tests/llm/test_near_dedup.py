@@ -88,6 +88,24 @@ def test_components_of_a_long_path(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_small_table_take_few_tasks(spark):
+    """A session's 211 parts make 211 tasks a stage of a large table alone; each task costs the driver memory and a file or two."""
+    session, context = spark.newSession(), spark.sparkContext
+    session.conf.set("spark.sql.shuffle.partitions", "211")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    edges = session.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    context.setJobGroup("small components", "")
+    try:
+        assert {r["component"] for r in components(edges).collect()} == {0}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("small components") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    print("tasks", tasks)
+    assert len(stages) > 20 and tasks < 2500
+
+
 def test_close_copies_above_node_shingles(spark):
     """A group of very close copies too large for a node stays whole, whatever places its nodes pick."""
     rng = random.Random(4)
