@@ -12,15 +12,16 @@ from sparkworks.operators.ranges import settle
 from sparkworks.sources.io import write_csv
 
 
-def confusion_counts(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Counts of the pairs that occur: label, pred, n; rows with a null in either are left out."""
-    both = df.select(F.col(label).alias("label"), F.col(pred).alias("pred")).na.drop()
-    return both.groupBy("label", "pred").agg(F.count("*").alias("n"))
+def confusion_counts(df: DataFrame, label: str, pred: str, weight: str | None = None) -> DataFrame:
+    """Counts of the pairs that occur, each row as often as ``weight`` says: label, pred, n; rows with a null in either are left out."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    both = df.select(F.col(label).alias("label"), F.col(pred).alias("pred"), times.cast("long").alias("times")).na.drop(subset=["label", "pred"])
+    return both.groupBy("label", "pred").agg(F.sum("times").alias("n"))
 
 
-def confusion_matrix(df: DataFrame, label: str, pred: str, most: int = 1000) -> DataFrame:
-    """All pairs of the classes that occur as label or prediction, with their counts; more than ``most`` classes raise a ValueError."""
-    counts = settle(confusion_counts(df, label, pred))
+def confusion_matrix(df: DataFrame, label: str, pred: str, most: int = 1000, weight: str | None = None) -> DataFrame:
+    """All pairs of the classes that occur as label or prediction, with their counts, or sums of ``weight`` as whole numbers; more than ``most`` classes raise a ValueError."""
+    counts = settle(confusion_counts(df, label, pred, weight))
     names = counts.select(F.col("label").alias("c")).union(counts.select(F.col("pred").alias("c"))).distinct()
     if names.limit(most + 1).count() > most:
         raise ValueError(f"there are more than {most} classes: too many for a matrix")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pathlib import PurePosixPath
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -35,6 +36,16 @@ def assemble(df: DataFrame, columns: Sequence[str], name: str = "features") -> D
     return VectorAssembler(inputCols=list(columns), outputCol=name, handleInvalid="error").transform(df)
 
 
+def weighed(df: DataFrame, label: str, columns: Sequence[str], name: str = "weight") -> DataFrame:
+    """The distinct rows of label and columns, with their count: a fit with these weights is the fit of all rows, except where it draws rows."""
+    return df.groupBy(label, *columns).agg(F.count("*").cast("double").alias(name))
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt evenly by a hash of the key: a fit that passes over them again and again keeps all cores busy, whatever the files' row groups."""
+    return df.repartition(max(3 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()), key)
+
+
 def logistic_regression(n_rows: int, c: float = 1.0, **params) -> LogisticRegression:
     """L2 with strength 1 / C over the sum of losses, which is 1 / (C n) over their mean."""
     return LogisticRegression(regParam=1.0 / (c * n_rows), elasticNetParam=0.0, standardization=False, **params)
@@ -157,6 +168,10 @@ def linear_svm(n_rows: int, c: float = 1.0, **params) -> LinearSVC:
     return LinearSVC(regParam=1.0 / (c * n_rows), standardization=False, **params)
 
 
+#: Most Fourier features that are made a batch at a time; of more, a batch of rows would take up too much memory.
+WAVES = 1000
+
+
 def fourier_weights(gamma: float, dims: int, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Weights (n, dims) and shifts of random Fourier features."""
     rng = np.random.default_rng(seed)
@@ -167,9 +182,20 @@ def fourier_features(df: DataFrame, vector: str, gamma: float, dims: int, n: int
     """Random Fourier features of the RBF kernel exp(-gamma |x - y|^2): sqrt(2 / n) cos(w x + b)."""
     w, b = fourier_weights(gamma, dims, n, seed)
     x = vector_to_array(vector)
-    rows = F.array(*(F.array(*(F.lit(float(v)) for v in [*row, shift])) for row, shift in zip(w, b, strict=True)))
-    wave = lambda r: F.cos(F.aggregate(F.zip_with(F.slice(r, 1, dims), x, lambda u, v: u * v), F.element_at(r, -1), lambda s, v: s + v))
-    return df.withColumn(name, array_to_vector(F.transform(rows, lambda r: wave(r) * F.lit(float(np.sqrt(2 / n))))))
+    if n > WAVES:
+        rows = F.array(*(F.array(*(F.lit(float(v)) for v in [*row, shift])) for row, shift in zip(w, b, strict=True)))
+        wave = lambda r: F.cos(F.aggregate(F.zip_with(F.slice(r, 1, dims), x, lambda u, v: u * v), F.element_at(r, -1), lambda s, v: s + v))
+        return df.withColumn(name, array_to_vector(F.transform(rows, lambda r: wave(r) * F.lit(float(np.sqrt(2 / n))))))
+
+    @F.pandas_udf("array<double>")
+    def waves(points: pd.Series) -> pd.Series:
+        held = np.stack(points.to_list()) if len(points) else np.zeros((0, dims))
+        angle = np.tile(b, (len(held), 1))
+        for k in range(dims):
+            angle += held[:, k : k + 1] * w[:, k]
+        return pd.Series(list(np.cos(angle) * np.sqrt(2 / n)))
+
+    return df.withColumn(name, array_to_vector(waves(x)))
 
 
 def rbf_svm(n_rows: int, c: float = 1.0, features: str = "fourier", **params) -> LinearSVC:

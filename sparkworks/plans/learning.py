@@ -170,15 +170,17 @@ def rbf_model(t):
     """Orders inside a ring of price and date, which no line parts, told by Fourier features and a linear machine."""
     a, b = (F.col("o_totalprice") / 100000 - 1.5) * 2, F.pmod(F.col("o_orderkey"), F.lit(100)) / 25 - 2
     rows = t.orders.select(F.col("o_orderkey").cast("string").alias("key"), a.alias("a"), b.alias("b")).withColumn("label", (F.col("a") * F.col("a") + F.col("b") * F.col("b") < 1.5).cast("double"))
-    rows = settle(models.fourier_features(models.assemble(rows, ["a", "b"]), "features", 0.7, 2, 100))
-    train, test = prep.train_test_split(rows, "key", 0.2, seed=4)
+    # The few columns are settled, not the hundred waves made of them.
+    train, test = prep.train_test_split(settle(models.dealt(rows, "key")), "key", 0.2, seed=4)
+    waves = lambda df: models.fourier_features(models.assemble(df, ["a", "b"]), "features", 0.7, 2, 100).select("label", "fourier")
+    train, test = waves(train), waves(test)
     _, predicted, _ = models.fit_model(models.rbf_svm(train.count()), train, test, "label", classifier=True)
     return metrics.confusion_matrix(predicted, "label", "prediction")
 
 
 @query()
 def boosting_model(t):
-    return _accuracy(t, lambda train: models.gradient_boosting(rounds=20))
+    return _accuracy(t, lambda train: models.gradient_boosting(rounds=20, weightCol="weight"))
 
 
 @query()
@@ -197,36 +199,48 @@ def l1_descent(t):
     return t.spark.createDataFrame([(k, float(v), float(weight), float(bias)) for k, v in trace], "epoch int, loss double, weight double, bias double")
 
 
-def _features(t):
-    """Assembled rows; settled, for fitting reads them again and again."""
-    rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), (F.col("l_extendedprice") > 35000).cast("double").alias("label"), "l_quantity", "l_discount", "l_tax")
-    return settle(models.assemble(rows, ["l_quantity", "l_discount", "l_tax"]))
+_LINE = ["l_quantity", "l_discount", "l_tax"]
+
 
+def _accuracy(t, estimator, bags: bool = False):
+    """Fitted on distinct lines with their counts as weights, which is the same and bounded by the columns' values; ``bags`` are drawn from single lines.
 
-def _accuracy(t, estimator):
-    train, test = prep.train_test_split(_features(t), "key", 0.2, seed=4)
+    Rows to predict are distinct ones with their counts in any case.
+    """
+    rows = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), (F.col("l_extendedprice") > 35000).cast("double").alias("label"), *_LINE)
+    train, test = prep.train_test_split(rows, "key", 0.2, seed=4)
+    if bags:
+        train = settle(models.assemble(models.dealt(train, "key"), _LINE).select("label", "features"))
+    else:
+        train = settle(models.assemble(models.weighed(train, "label", _LINE), _LINE))
+    test = models.assemble(models.weighed(test, "label", _LINE), _LINE)
     _, predicted, _ = models.fit_model(estimator(train), train, test, "label", classifier=True)
-    return metrics.confusion_matrix(predicted, "label", "prediction")
+    return metrics.confusion_matrix(predicted, "label", "prediction", weight="weight")
+
+
+def _lines(train):
+    """How many lines the distinct ones of ``train`` stand for."""
+    return train.agg(F.sum("weight")).first()[0]
 
 
 @query()
 def logistic_model(t):
-    return _accuracy(t, lambda train: models.logistic_regression(train.count()))
+    return _accuracy(t, lambda train: models.logistic_regression(_lines(train), weightCol="weight"))
 
 
 @query()
 def tree_model(t):
-    return _accuracy(t, lambda train: models.decision_tree(maxDepth=4))
+    return _accuracy(t, lambda train: models.decision_tree(maxDepth=4, weightCol="weight"))
 
 
 @query()
 def forest_model(t):
-    return _accuracy(t, lambda train: models.random_forest())
+    return _accuracy(t, lambda train: models.random_forest(), bags=True)
 
 
 @query()
 def svm_model(t):
-    return _accuracy(t, lambda train: models.linear_svm(train.count()))
+    return _accuracy(t, lambda train: models.linear_svm(_lines(train), weightCol="weight"))
 
 
 @query()

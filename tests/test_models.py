@@ -207,3 +207,35 @@ def test_reports(spark, tmp_path):
     with pytest.raises(ValueError, match="more than 2 classes"):
         metrics.confusion_matrix(df.union(spark.createDataFrame([(2, 2)], "y int, p int")), "y", "p", most=2)
     assert table.exists(df, F.col("y") == 1) and not table.exists(df, F.col("y") == 7)
+
+
+def test_fits_of_distinct_rows_are_those_of_all(spark):
+    """Weights stand for repeated rows: the same tree, machine and matrix, from as many rows as there are distinct ones."""
+    rows = spark.range(4000).selectExpr("cast(id % 10 as double) as a", "cast(id % 7 as double) as b", "cast(id % 10 + id % 3 > 6 as double) as label")
+    few = models.weighed(rows, "label", ["a", "b"])
+    assert few.count() < 200 and few.agg(F.sum("weight")).first()[0] == 4000
+    every, few = models.assemble(rows, ["a", "b"]), models.assemble(few, ["a", "b"])
+    for make in (models.decision_tree, lambda **p: models.gradient_boosting(rounds=4, **p), lambda **p: models.logistic_regression(4000, **p)):
+        one, two = make().fit(every), make(weightCol="weight").fit(few)
+        whole = metrics.confusion_matrix(one.transform(every), "label", "prediction")
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, metrics.confusion_matrix(two.transform(few), "label", "prediction", weight="weight").collect()))
+
+
+def test_fits_of_lines_take_distinct_ones(spark, monkeypatch):
+    """Boosting is fitted on no more rows than there are values of the columns; a forest's rows are dealt to all cores."""
+    from sparkworks.plans import learning  # noqa: F401  it registers the queries
+    from sparkworks.plans.registry import QUERIES
+
+    held = []
+
+    def fit(estimator, train, test, *args, **kwargs):
+        held.append((train.count(), train.rdd.getNumPartitions(), train.columns))
+        return None, test.withColumn("prediction", F.col("label")), None
+
+    monkeypatch.setattr(models, "fit_model", fit)
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    for name in ("boosting_model", "forest_model", "rbf_model"):
+        QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert held[0][0] < 0.25 * lines.count() < 0.75 * lines.count() < held[1][0]
+    assert held[1][1] >= spark.sparkContext.defaultParallelism and held[1][2] == ["label", "features"]
+    assert held[2][1] >= spark.sparkContext.defaultParallelism and held[2][2] == ["label", "fourier"]
