@@ -85,10 +85,16 @@ def tfidf_fit(df: DataFrame, key: str, text: str, max_features: int = 10_000, st
 def tfidf(df: DataFrame, key: str, text: str, max_features: int = 10_000, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Fit and transform the same texts: (key, term, weight).
 
-    Texts are taken apart once: the counts are settled, ranked and weighted.
+    Texts are dealt by key and taken apart there, once; a key's counts are
+    settled as one row, and such rows are dealt again, so no counts are shuffled one by one.
     """
-    counts = settle(term_counts(df, key, text, stop_words))
-    return TfidfModel(settle(_learned(counts, df.agg(F.count("*").alias("n")), max_features)), stop_words)._weights(counts, key)
+    dealt = df.select(key, text).repartition(F.col(key))
+    cells = term_counts(dealt, key, text, stop_words).groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("c"))
+    # Terms hold no blanks; joined, with whole numbers beside them, they take a quarter of the room of rows.
+    held = settle(cells.select(key, F.array_join("c.term", " ").alias("terms"), F.col("c.tf").cast("array<int>").alias("tfs")))
+    apart = lambda rows: rows.select(key, F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), F.col("tfs").alias("tf"))).alias("c")).select(key, "c.*")
+    learned = settle(_learned(apart(held), df.agg(F.count("*").alias("n")), max_features))
+    return TfidfModel(learned, stop_words)._weights(apart(held.repartition(F.col(key))), key)
 
 
 def top_keywords(weights: DataFrame, key: str, n: int = 2) -> DataFrame:

@@ -90,3 +90,13 @@ def test_tfidf_learned_saved_and_applied(spark, tmp_path):
     fitted = {(r["id"], r["term"]): r["weight"] for r in text.tfidf(frame(train), "id", "text", 25).collect()}
     assert fitted.keys() == weights_by_hand(train, train, 25).keys()
     assert text.tfidf_fit(frame([]), "id", "text").transform(frame(other), "id", "text").count() == 0
+
+
+def test_tfidf_shuffles_packed_counts(spark):
+    """Weights are made where the packed counts of a key were dealt to: no count is shuffled by itself."""
+    df = spark.createDataFrame([(k, f"red green {'blue ' * k}") for k in range(9)] + [(3, "red yellow"), (20, None)], "id long, text string")
+    made = text.tfidf(df, "id", "text", 25)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "hashpartitioning" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "")
+    want = text.tfidf_fit(df, "id", "text", 25).transform(df, "id", "text")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and made.filter("id = 3").count() == 4
