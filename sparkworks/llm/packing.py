@@ -22,7 +22,7 @@ from sparkworks.llm.textnum import chunks, text_buffers
 from sparkworks.llm.wordcache import KeptWords, spread
 
 #: Bytes of text that are tokenised at once.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 #: Stems to a call of the tokenizer, which keeps an object for every id of a call.
 CALL = 10_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, part int, own long"

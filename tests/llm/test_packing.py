@@ -58,3 +58,19 @@ def test_words_as_the_library(odd_rows):
         ids, size = own(pa.array(texts))
         for text, got in zip(texts, np.split(ids, np.cumsum(size)[:-1]), strict=True):
             assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_two_megabytes_are_encoded_at_once(monkeypatch):
+    """Each chunk encodes its distinct words again once the table of kept ones is full, so chunks are not to be small."""
+    import pyarrow as pa
+
+    from sparkworks.llm import packing
+
+    calls, encode = [], packing.WordIds.__call__
+    monkeypatch.setattr(packing.WordIds, "__call__", lambda self, texts: calls.append(len(texts)) or encode(self, texts))
+    monkeypatch.setattr(packing.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)})))
+    texts = [f"word{k} more. " * 2500 for k in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    run = packing._pieces(public_tokenizers.path("word_bpe_49k.json"), 1, 2048, pa.int64())
+    got = [r for out in run(iter([batch])) for r in out.to_pylist()]
+    assert calls == [60] and {r["doc_id"] for r in got} == set(range(60))
