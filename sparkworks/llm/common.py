@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import math
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -108,3 +109,13 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def partitions(df: DataFrame, least: int = 8) -> int:
     """How many parts to deal a shuffle of df's session into."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def few(df: DataFrame, rows: int, each: int = 50_000) -> int:
+    """How many tasks to coalesce some ``rows`` rows into: two a core, more where a task would get over ``each``.
+
+    Shuffles of a small table have as many parts as those of the largest one.
+    Each part is a task, with a file and a record that the driver keeps, in
+    every step that reads the table again.
+    """
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / each))

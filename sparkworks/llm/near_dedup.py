@@ -34,6 +34,7 @@ the same classes are compared once.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkworks.llm.common import partitions, settle, small, squeezed, tidy, unsqueeze
+from sparkworks.llm.common import few, partitions, settle, small, squeezed, tidy, unsqueeze
 from sparkworks.llm.components import components
 from sparkworks.llm.textnum import Words, gram_hashes, mix, run_starts, uniform, word_chunks
 
@@ -51,8 +52,10 @@ PLACES = 64
 GAIN = 0.9
 #: Children below the roots that two classes at the threshold share on average; above 1, or deep pairs are lost.
 BRANCHING = 1.5
-#: Tiles have few classes beside the texts: up to so many (node, class) rows, of some 40 bytes, meet the texts by broadcast.
-FEW = 250_000
+#: Tiles have few classes beside the texts: the ids of up to so many, of some 40 bytes, are broadcast to select their texts.
+FEW = 100_000
+#: More tasks than any shuffle has parts: a table stays in the parts that it was dealt into.
+AS_DEALT = 1 << 30
 _KEYS = np.random.default_rng(6).integers(1, 1 << 63, (2, PLACES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -236,7 +239,7 @@ def _prune(least: float):
             tokens = _sketch_table(table["sketch"].combine_chunks())
             labels = table["label"].to_numpy() if "label" in table.column_names else None
             cuts = np.append(run_starts(nodes), len(nodes))
-            out_node, out_set = [], []
+            out_node, out_set, out_label = [], [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 mark = np.zeros(b - a, bool)
                 if labels is None:
@@ -252,11 +255,16 @@ def _prune(least: float):
                         mark[k] = True
                         mark[near] = True
                 if mark.any():
-                    own = np.sort(sets[a:b][order][mark])
+                    own = sets[a:b][order][mark]
+                    by = np.argsort(own)
+                    own = own[by]
                     out_set.append(own)
+                    if labels is not None:
+                        out_label.append(labels[a:b][order][mark][by])
                     out_node.append(np.full(len(own), np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), np.int64)[0]))
             if out_node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_node)), pa.array(np.concatenate(out_set))], ["node", "set"])
+                found = [pa.array(np.concatenate(x)) for x in (out_node, out_set, out_label) if x]
+                yield pa.RecordBatch.from_arrays(found, ["node", "set", "label"][: len(found)])
 
     return run
 
@@ -267,7 +275,8 @@ def _emit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = batch.slice(a, b - a)
             sets = shingle_sets(words)
             right = pa.array([set_key(s) == k for s, k in zip(sets, own["set"].to_pylist(), strict=True)])  # an id may stand for several texts
-            found = pa.RecordBatch.from_arrays([own["set"], own["nodes"], pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "nodes", "shingles"])
+            more = [c for c in ("label",) if c in batch.schema.names]
+            found = pa.RecordBatch.from_arrays([own["set"], own["nodes"], pa.array([s.tobytes() for s in sets], pa.binary()), *(own[c] for c in more)], ["set", "nodes", "shingles", *more])
             yield found.filter(right)
 
 
@@ -280,13 +289,26 @@ def common(left: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit.astype(np.int64), first)
 
 
-def spanning_links(sets: list[np.ndarray], least: float, percent: int, batch: int = 16) -> list[tuple[int, int]]:
-    """Links that connect what all links of the node connect, each confirmed on the full sets."""
-    n = len(sets)
-    label = np.arange(n)
+def spanning_links(sets: list[np.ndarray], least: float, percent: int, batch: int = 16, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links of the node connect, each confirmed on the full sets.
+
+    Sets of one label are connected already, and no links between them are sought.
+    """
+    order = label = np.arange(len(sets))
+    rows = len(sets)
+    if labels is not None:
+        # Those of the most frequent label come last: no two of them need be compared.
+        _, label, n = np.unique(labels, return_inverse=True, return_counts=True)
+        order, rows = np.argsort(label == n.argmax(), kind="stable"), rows - int(n.max())
+        sets = [sets[i] for i in order]
+    label = label[order]
     size = np.array([len(s) for s in sets])
     links = []
-    for k, near, share in estimates(sketches(sets), least):
+    for k, near, share in estimates(sketches(sets), least, rows):
+        apart = label[near] != label[k]
+        near, share = near[apart], share[apart]
+        if not len(near):
+            continue
         lo, hi = np.minimum(size[near], size[k]), np.maximum(size[near], size[k])
         near, share = near[100 * lo >= percent * hi], share[100 * lo >= percent * hi]
         near = near[np.argsort(-share, kind="stable")]
@@ -295,7 +317,7 @@ def spanning_links(sets: list[np.ndarray], least: float, percent: int, batch: in
             both = common(sets[k], [sets[j] for j in now])
             for j, c in zip(now.tolist(), both.tolist(), strict=True):
                 if label[j] != label[k] and 100 * c >= percent * (size[k] + size[j] - c):
-                    links.append((k, j))
+                    links.append((order[k], order[j]))
                     label[label == label[j]] = label[k]
     return links
 
@@ -305,10 +327,11 @@ def _confirm(least: float, percent: int):
         for table in whole_groups(batches, "node"):
             nodes, keys = table["node"].to_numpy(), table["set"].to_numpy()
             values = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+            labels = table["label"].to_numpy() if "label" in table.column_names else None
             cuts = np.append(run_starts(nodes), len(nodes))
             found: list[tuple[int, int]] = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                found += [(keys[a + i], keys[a + j]) for i, j in spanning_links(values[a:b], least, percent)]
+                found += [(keys[a + i], keys[a + j]) for i, j in spanning_links(values[a:b], least, percent, labels=None if labels is None else labels[a:b])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
@@ -329,16 +352,24 @@ def near_links(classes: DataFrame, texts: DataFrame, percent: int = 75, trees: i
     threshold = percent / 100
     least = threshold - 4 * (threshold * (1 - threshold) / PLACES) ** 0.5
     fitting, crowds = grown(classes, threshold, trees, node_limit, node_shingles, depth_limit)
+    n = classes.count()
+    tasks = few(classes, n * _roots(trees, threshold))
     if crowds is None:
-        return _compare(fitting, classes, texts, least, percent)
-    crowds = merged(crowds)
-    links = settle(_compare(fitting.unionByName(_blocks(crowds, node_limit, node_shingles)), classes, texts, least, percent))
-    found = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
-    labelled = settle(crowds.join(found, "set", "left").withColumn("label", F.coalesce("label", "set")))
-    open_ = settle(tiles(labelled, node_limit, node_shingles))
+        return _compare(fitting, classes, texts, least, percent, tasks)
+    many = few(classes, crowds.count())
+    crowds = merged(crowds, many)
+    links = settle(_compare(fitting.unionByName(_blocks(crowds, node_limit, node_shingles)), classes, texts, least, percent, tasks))
+    found = components(links, about=n).select(F.col("node").alias("set"), F.col("component").alias("label"))
+    labelled = settle(crowds.join(found, "set", "left").withColumn("label", F.coalesce("label", "set")).coalesce(many))
+    open_ = settle(tiles(labelled, node_limit, node_shingles, many).coalesce(max(many, tasks)))
     if open_.isEmpty():
         return links
-    return links.unionByName(_compare(open_, classes, texts, least, percent))
+    return links.unionByName(_compare(open_, classes, texts, least, percent, tasks))
+
+
+def _roots(trees: int, threshold: float) -> int:
+    """How many root children a class goes to."""
+    return int(picked_places(root_keys(trees), threshold).sum())
 
 
 def grown(classes: DataFrame, threshold: float, trees: int, node_limit: int, node_shingles: int, depth_limit: int, rows: list[int] | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -346,7 +377,8 @@ def grown(classes: DataFrame, threshold: float, trees: int, node_limit: int, nod
 
     ``rows`` gets the number of rows of each level.
     """
-    level = classes.select("set", "sketch", "n_shingles").mapInArrow(_grow_roots(trees, threshold), _LEVEL)
+    tasks = few(classes, classes.count() * _roots(trees, threshold))
+    level = classes.select("set", "sketch", "n_shingles").coalesce(tasks).mapInArrow(_grow_roots(trees, threshold), _LEVEL)
     fitting: DataFrame | None = None
     crowds: DataFrame | None = None
     above: DataFrame | None = None
@@ -354,43 +386,48 @@ def grown(classes: DataFrame, threshold: float, trees: int, node_limit: int, nod
         level = settle(level)
         if rows is not None:
             rows.append(level.count())
-        sizes = settle(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(set))").alias("who"), F.any_value("parent").alias("parent"), F.any_value("used").alias("used"), F.max("was").alias("was")).filter("n > 1"))
+        sizes = settle(level.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(set))").alias("who"), F.any_value("parent").alias("parent"), F.any_value("used").alias("used"), F.max("was").alias("was")).filter("n > 1").coalesce(tasks))
         if above is not None:
             # What a place holds on average, and as many places as a node picks on average.
             pairs = sizes.groupBy("parent").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("held"), F.count_distinct("used").alias("places"), F.max("was").alias("was"))
             usual = F.col("held") / F.col("places") * (BRANCHING / threshold)
-            stuck = settle(pairs.filter(usual >= GAIN * F.col("was") * (F.col("was") - 1)).select(F.col("parent").alias("node")))
+            stuck = settle(pairs.filter(usual >= GAIN * F.col("was") * (F.col("was") - 1)).select(F.col("parent").alias("node")).coalesce(tasks))
             if not stuck.isEmpty():
-                crowd = above.join(stuck, "node").select("node", "set", "size")
+                crowd = settle(above.join(stuck, "node").select("node", "set", "size").coalesce(tasks))
                 crowds = crowd if crowds is None else crowds.unionByName(crowd)
-                sizes = sizes.join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti")
+                sizes = settle(sizes.join(stuck.withColumnRenamed("node", "parent"), "parent", "left_anti").coalesce(tasks))
         # Two classes are compared whatever their size.
         small_enough = (F.col("n") <= 2) | ((F.col("n") <= node_limit) & (F.col("shingles") <= node_shingles))
         fits = level.join(_once(sizes.filter(small_enough)).select("node"), "node").select("node", "set")
         fitting = fits if fitting is None else fitting.unionByName(fits)
         large = sizes.filter(~small_enough).select("node", "n")
-        if large.isEmpty():
+        held = large.agg(F.sum("n")).first()[0]
+        if held is None:
             break
         above = level.join(large, "node").select("node", "set", "size", "used", "n")
         if depth == depth_limit:
-            crowd = above.select("node", "set", "size")
+            crowd = settle(above.select("node", "set", "size").coalesce(tasks))
             crowds = crowd if crowds is None else crowds.unionByName(crowd)
         # Equal nodes are one only where they are compared: while they branch, each is a chance of its own.
-        level = above.join(classes.select("set", "sketch"), "set").mapInArrow(_grow(threshold), _LEVEL)
+        tasks = few(classes, math.ceil(held * BRANCHING / threshold))
+        level = above.join(classes.select("set", "sketch"), "set").coalesce(tasks).mapInArrow(_grow(threshold), _LEVEL)
     return fitting, crowds
 
 
-def merged(crowds: DataFrame) -> DataFrame:
-    """Large nodes, where those with half of their classes in a larger one are one with it: node, set, size, n, shingles."""
-    rows = settle(crowds.distinct())
+def merged(crowds: DataFrame, tasks: int = AS_DEALT) -> DataFrame:
+    """Large nodes, where those with half of their classes in a larger one are one with it: node, set, size, n, shingles.
+
+    What is settled is left in at most ``tasks`` parts.
+    """
+    rows = settle(crowds.distinct().coalesce(tasks))
     of_node = rows.groupBy("node").agg(F.count("*").alias("n"))
     placed = rows.select("node", "set").join(of_node, "node")
-    homes = settle(placed.groupBy("set").agg(F.max(F.struct("n", "node")).alias("home")).select("set", F.col("home.node").alias("home")))
+    homes = settle(placed.groupBy("set").agg(F.max(F.struct("n", "node")).alias("home")).select("set", F.col("home.node").alias("home")).coalesce(tasks))
     votes = placed.join(homes, "set").groupBy("node", "n", "home").agg(F.count("*").alias("m"))
     goes = votes.filter((F.col("home") != F.col("node")) & (2 * F.col("m") >= F.col("n"))).groupBy("node").agg(F.max(F.struct("m", "home")).alias("to"))
-    found = components(goes.select(F.col("node").alias("a"), F.col("to.home").alias("b"))).select("node", F.col("component").alias("whole"))
+    found = components(goes.select(F.col("node").alias("a"), F.col("to.home").alias("b")), about=1).select("node", F.col("component").alias("whole"))
     one = rows.join(found, "node", "left").select(F.coalesce("whole", "node").alias("node"), "set", "size").distinct()
-    one = settle(one)
+    one = settle(one.coalesce(tasks))
     return one.join(one.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "node")
 
 
@@ -399,17 +436,22 @@ def _once(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("n", "shingles", "who").agg(F.min("node").alias("node")).select("node", "n", "shingles")
 
 
-def _compare(nodes: DataFrame, classes: DataFrame, texts: DataFrame, least: float, percent: int) -> DataFrame:
+def _compare(nodes: DataFrame, classes: DataFrame, texts: DataFrame, least: float, percent: int, tasks: int = AS_DEALT) -> DataFrame:
     """Links (a, b) that connect what all links within the nodes connect; where classes have labels, all between different ones."""
     parts = partitions(classes)
+    labels = [c for c in nodes.columns if c == "label"]
+    more = "".join(f", {c} long" for c in labels)
     with_sketch = nodes.join(classes.select("set", "sketch"), "set").select(*nodes.columns, "sketch")
-    pruned = with_sketch.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_prune(least), "node long, set long")
-    pruned = settle(pruned.distinct())
-    wanted = pruned.groupBy("set").agg(F.collect_list("node").alias("nodes")).join(classes.select("set", "id"), "set")
-    if "label" in nodes.columns and pruned.limit(FEW + 1).count() <= FEW:
-        wanted = F.broadcast(wanted)
-    shingles = squeezed(texts).join(wanted, "id").select("set", "nodes", "text").mapInArrow(_emit_sets, "set long, nodes array<long>, shingles binary").dropDuplicates(["set"])
-    dealt = shingles.select(F.explode("nodes").alias("node"), "set", "shingles").repartition(parts, "node").sortWithinPartitions("node", "set")
+    pruned = with_sketch.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_prune(least), f"node long, set long{more}")
+    pruned = settle(pruned.distinct().coalesce(tasks))
+    texts = squeezed(texts)
+    wanted = pruned.groupBy("set").agg(F.collect_list("node").alias("nodes"), *(F.min(c).alias(c) for c in labels)).join(classes.select("set", "id"), "set")
+    if labels:
+        wanted = settle(wanted.coalesce(tasks))
+        if wanted.count() <= FEW:
+            texts = texts.join(F.broadcast(wanted.select("id")), "id", "left_semi")
+    shingles = texts.join(wanted, "id").select("set", "nodes", "text", *labels).mapInArrow(_emit_sets, f"set long, nodes array<long>, shingles binary{more}").dropDuplicates(["set"])
+    dealt = shingles.select(F.explode("nodes").alias("node"), "set", "shingles", *labels).repartition(parts, "node").sortWithinPartitions("node", "set")
     return dealt.mapInArrow(_confirm(least, percent), "a long, b long")
 
 
@@ -424,7 +466,7 @@ def _blocks(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
     return hubs.unionByName(rest).distinct().select(F.xxhash64("node", "block").alias("node"), "set")
 
 
-def tiles(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
+def tiles(rows: DataFrame, limit: int, shingles: int, tasks: int = AS_DEALT) -> DataFrame:
     """(node, set, label): tiles in which any two classes of a large node with different labels meet.
 
     Where one label has nearly all classes, the others, half a tile of them at
@@ -435,7 +477,7 @@ def tiles(rows: DataFrame, limit: int, shingles: int) -> DataFrame:
     sums = each.groupBy("node").agg(F.max(F.struct("m", "s", "label")).alias("top"), F.sum("m").alias("n"), F.sum("s").alias("shingles"), F.count("*").alias("labels")).filter("labels > 1")
     thin = (2 * (F.col("n") - F.col("top.m")) <= limit) & (2 * (F.col("shingles") - F.col("top.s")) <= shingles)
     parts = F.greatest(F.when(thin, 1).otherwise(2), F.ceil(2 * F.col("n") / limit), F.ceil(2 * F.col("shingles") / shingles)).cast("int")
-    sums = settle(sums.select("node", F.col("top.label").alias("top"), thin.alias("thin"), parts.alias("parts")))
+    sums = settle(sums.select("node", F.col("top.label").alias("top"), thin.alias("thin"), parts.alias("parts")).coalesce(tasks))
     own = rows.select("node", "set", "label").join(sums, "node").withColumn("part", F.pmod(F.xxhash64("node", "set", F.lit(2)), F.col("parts")).cast("int"))
     to = F.when(F.col("thin") & (F.col("label") == F.col("top")), F.array("part")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     met = own.withColumn("other", F.explode(to)).filter(F.col("thin") | (F.col("other") != F.col("part")))
@@ -480,12 +522,14 @@ def _assigned(df: DataFrame, percent: int, id_col: str, text_col: str, trees: in
     rows = settle(plain.mapInArrow(_emit_sketches(carried), f"id {kind}, n_shingles long, set long, sketch binary{more}"))
     plain = plain.select("id", "text")
     # One member of each class stands for it, and its text is read again for the comparison.
-    classes = settle(rows.filter("set <> 0 and id is not null").groupBy("set").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")))
+    n = rows.count()
+    tasks = few(df, n)
+    classes = settle(rows.filter("set <> 0 and id is not null").groupBy("set").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")).coalesce(tasks))
     links = settle(near_links(classes, plain, percent, trees, node_limit, depth_limit=depth_limit))
-    found = components(links)
+    found = components(links, about=n)
     named = classes.select("set", "id").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_set = settle(named.join(least, "component").select("set", "component", "component_id"))
+    of_set = settle(named.join(least, "component").select("set", "component", "component_id").coalesce(tasks))
     # Rows without an id or shingles have no set to meet.
     own = F.when(F.col("id").isNotNull() & (F.col("set") != 0), F.col("set"))
     return rows.select("id", "n_shingles", own.alias("set"), *carried).join(of_set, "set", "left").select("id", "n_shingles", *carried, "component", "component_id")

@@ -255,3 +255,15 @@ def test_recall_at_the_threshold_whatever_the_depth(spark):
         met = sum(any(k in g and size + k in g for g in nodes.values()) for k in range(pairs))
         print("limit", limit, "rows by level", rows, "met", met, "of", pairs)
         assert met >= 0.95 * pairs
+
+
+def test_labels_of_a_node_are_connected_already():
+    """Tiles give links between labels alone; links within them had come to one a class and tile."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    sets = [np.unique(np.array([hash(tuple(w[k : k + 5])) & (1 << 63) - 1 for k in range(196)], np.uint64)) for j in range(30) for w in [[*base[: 170 + j], *(f"e{j}" for _ in range(30 - j))]]]
+    assert len(n.spanning_links(sets, 0.5, 75)) == 29
+    labels = np.array([5] * 20 + [3] * 9 + [4])
+    links = n.spanning_links(sets, 0.5, 75, labels=labels)
+    assert len(links) == 2 and {frozenset(labels[[a, b]].tolist()) for a, b in links} <= {frozenset(x) for x in ((3, 4), (3, 5), (4, 5))}
+    assert not n.spanning_links(sets, 0.5, 75, labels=np.zeros(30, np.int64))
