@@ -50,6 +50,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle_unsized(df: DataFrame) -> DataFrame:
+    """``settle`` for rounds: the copy has no estimate of its size.
+
+    A checkpoint keeps the estimate of the plan that made it, and that of a
+    join is the product of its sides.  Where each round joins what the one
+    before it settled with itself, the digits double with every join, to
+    megabytes after some twenty, which the driver holds and multiplies.
+    """
+    held = settle(df)._jdf
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), session)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function over batches, which gives back unused memory when a task ends.
 

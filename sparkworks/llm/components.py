@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkworks.llm.common import settle
+from sparkworks.llm.common import settle_unsized as settle
 
 
 #: Edges to a task: rounds of a small table have few tasks, however many parts the session deals shuffles into.

@@ -42,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkworks.llm.common import few, partitions, settle, small, squeezed, tidy, unsqueeze
+from sparkworks.llm.common import few, partitions, small, squeezed, tidy, unsqueeze
+from sparkworks.llm.common import settle_unsized as settle
 from sparkworks.llm.components import components
 from sparkworks.llm.textnum import Words, gram_hashes, mix, run_starts, uniform, word_chunks
 

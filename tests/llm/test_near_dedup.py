@@ -88,6 +88,46 @@ def test_components_of_a_long_path(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.fixture
+def estimates_of(monkeypatch):
+    """The estimates of size of what a module settles, as decimal digits."""
+
+    def watch(module):
+        digits, real = [], module.settle
+
+        def settle(df):
+            said = re.search(r"sizeInBytes=([\d.]+)(?:E\+(\d+))?", df._jdf.queryExecution().optimizedPlan().stats().simpleString())
+            digits.append(int(said[2] or 0))
+            return real(df)
+
+        monkeypatch.setattr(module, "settle", settle)
+        return digits
+
+    return watch
+
+
+def test_rounds_of_components_do_not_multiply_estimates(spark, estimates_of):
+    """Estimates of a join are products: carried from round to round their digits double, to gigabytes of the driver's memory."""
+    from sparkworks.llm import components as c
+
+    digits = estimates_of(c)
+    ids = list(range(300))
+    random.Random(4).shuffle(ids)
+    found = c.components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long"))
+    assert {r["component"] for r in found.collect()} == {0}
+    assert len(digits) > 20 and max(digits) < 100
+
+
+def test_levels_do_not_multiply_estimates(spark, estimates_of):
+    digits = estimates_of(n)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 32, n.PLACES, dtype=np.uint64)
+    tokens = np.where(rng.random((300, n.PLACES)) < 0.55, base, rng.integers(0, 1 << 32, (300, n.PLACES), dtype=np.uint64)).astype(np.uint32)
+    rows = []
+    n.grown(n.settle(spark.createDataFrame([(k, x.tobytes(), 400) for k, x in enumerate(tokens)], "set long, sketch binary, n_shingles long")), 0.75, 2, 8, 10**9, 24, rows)
+    assert len(rows) > 4 and max(digits) < 100
+
+
 def test_components_of_a_small_table_take_few_tasks(spark):
     """A session's 211 parts make 211 tasks a stage of a large table alone; each task costs the driver memory and a file or two."""
     session, context = spark.newSession(), spark.sparkContext
