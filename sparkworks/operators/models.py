@@ -7,6 +7,7 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkworks.operators.metrics import classification_metrics, regression_metrics
 from sparkworks.operators.prep import stratified_split
-from sparkworks.operators.ranges import with_rank_in
+from sparkworks.operators.ranges import settle, with_rank_in
 from sparkworks.operators.text import knn_join
 
 
@@ -203,6 +204,156 @@ def rbf_svm(n_rows: int, c: float = 1.0, features: str = "fourier", **params) ->
     return linear_svm(n_rows, c, featuresCol=features, **params)
 
 
+#: Rows to a pack, and to a part of packs: what a task holds of the points at once.
+PACK, PART = 32_768, 1_000_000
+
+
+def packed(df: DataFrame, label: str, columns: Sequence[str], weight: str = "weight") -> DataFrame:
+    """Rows of (label, fourier), each a pack of rows: weights with the label's sign, and the points of which features are made.
+
+    A fit passes over them a hundred times; they are a few numbers a row, not a row's many features.
+    """
+    names = [*columns]
+
+    def run(batches):
+        for batch in batches:
+            of, points = batch[label].to_numpy(False), np.stack([batch[c].to_numpy(False) for c in names], axis=1).astype(float)
+            if np.isnan(points).any() or np.isnan(of.astype(float)).any():
+                raise ValueError("a label or a point is null or NaN")
+            signed = np.where(of > 0, 1.0, -1.0) * batch[weight].to_numpy(False)
+            packs = [(signed[k : k + PACK].tobytes(), points[k : k + PACK].tobytes()) for k in range(0, len(signed), PACK)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*packs, strict=True) if packs else ((), ()))], ["label", "fourier"])
+
+    held = settle(df.select(label, weight, *names))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-held.count() // PART))
+    return held.repartition(parts, *names).mapInArrow(run, "label binary, fourier binary")
+
+
+class RbfMachine(Estimator):
+    """The linear machine of ``rbf_svm``, fitted on packs of points; features are made anew, some rows at a time, for each pass.
+
+    The objective is that of LinearSVC, the mean hinge loss plus 1 / (2 C n) times the squared weights (not the intercept),
+    and so is the end: after 100 steps, or when 20 gain less than 1e-6.  Steps are those of L-BFGS.  Large tables
+    are begun on ``first`` packs; the steps that count see all rows.  Passes use single precision, predictions double.
+    """
+
+    def __init__(self, columns: Sequence[str], gamma: float, n: int = 100, c: float = 1.0, seed: int = 0, steps: int = 100, tolerance: float = 1e-6, first: int = 16):
+        super().__init__()
+        self.columns, self.c, self.steps, self.tolerance, self.first = [*columns], c, steps, tolerance, first
+        self.waves = fourier_weights(gamma, len(self.columns), n, seed)
+        self.trace: list[tuple[float, int]] = []
+
+    def _fit(self, dataset: DataFrame) -> RbfModel:
+        packs = settle(dataset)
+        at = np.zeros(len(self.waves[1]) + 1)
+        if packs.count() > 4 * self.first:
+            at = self._descend(settle(packs.limit(self.first).repartition(self.first)), at)
+        return RbfModel(self.columns, self.waves, self._descend(packs, at))
+
+    def _value(self, packs: DataFrame, at: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """Rows, their sum of losses and its slope."""
+        w, b = (x.astype(np.float32) for x in self.waves)
+        v, c, dims = (at[:-1] * np.sqrt(2 / len(b))).astype(np.float32), float(at[-1]), len(self.columns)
+
+        def run(batches):
+            rows, loss, slope = 0.0, 0.0, np.zeros(len(b) + 1)
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    signed = np.frombuffer(batch["label"][k].as_py(), float)
+                    points = np.frombuffer(batch["fourier"][k].as_py(), float).reshape(-1, dims).astype(np.float32)
+                    for i in range(0, len(signed), 4096):
+                        own = signed[i : i + 4096]
+                        wave = points[i : i + 4096] @ w.T
+                        wave += b
+                        np.cos(wave, out=wave)
+                        gap = 1 - np.sign(own) * (wave @ v + c)
+                        pull = np.where(gap > 0, own, 0.0)
+                        rows += float(np.abs(own).sum())
+                        loss += float(np.abs(pull) @ gap)
+                        slope[:-1] -= pull.astype(np.float32) @ wave
+                        slope[-1] -= pull.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([loss]), pa.array([slope.tolist()], pa.list_(pa.float64()))], ["rows", "loss", "slope"])
+
+        found = packs.mapInArrow(run, "rows double, loss double, slope array<double>").collect()
+        slope = np.sum([r["slope"] for r in found], axis=0)
+        slope[:-1] *= np.sqrt(2 / len(b))
+        return sum(r["rows"] for r in found), sum(r["loss"] for r in found), slope
+
+    def _descend(self, packs: DataFrame, at: np.ndarray) -> np.ndarray:
+        def value(x):
+            rows, loss, slope = self._value(packs, x)
+            own = np.append(x[:-1], 0.0) / (self.c * max(rows, 1))
+            self.trace.append((loss / max(rows, 1) + 0.5 * float(own @ x), int(rows)))
+            return self.trace[-1][0], slope / max(rows, 1) + own
+
+        now, slope = value(at)
+        values, moves = [now], []
+        for _ in range(self.steps):
+            # The two loops of L-BFGS over the last ten moves.
+            way, held = -slope, []
+            for move, turn in reversed(moves):
+                share = (move @ way) / (move @ turn)
+                held.append(share)
+                way = way - share * turn
+            if moves:
+                way = way * ((moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]))
+            for (move, turn), share in zip(moves, reversed(held), strict=True):
+                way = way + (share - (turn @ way) / (move @ turn)) * move
+            fall = float(way @ slope)
+            if fall >= 0:
+                if not moves:
+                    break
+                moves = []
+                continue
+            # Bisection for a step that lessens the value enough and the slope along the way; the loss has kinks.
+            low, high, step, best = 0.0, np.inf, 1.0 if moves else 1 / max(float(np.linalg.norm(slope)), 1e-12), None
+            for _ in range(20):
+                there, then = value(at + step * way)
+                if there > now + 1e-4 * step * fall:
+                    high = step
+                else:
+                    best = (step, there, then)
+                    if float(way @ then) >= 0.9 * fall:
+                        break
+                    low = step
+                step = (low + high) / 2 if np.isfinite(high) else 2 * low
+            if best is None:
+                if not moves:
+                    break
+                moves = []
+                continue
+            step, now, then = best
+            move, turn = step * way, then - slope
+            if move @ turn > 1e-12 * float(turn @ turn):
+                moves = [*moves[-9:], (move, turn)]
+            at, slope = at + move, then
+            values.append(now)
+            # As in LinearSVC, against the value at zero, which is 1.
+            if len(values) > 20 and values[-21] - now <= self.tolerance:
+                break
+        return at
+
+
+class RbfModel(Model):
+    """Predictions 0 and 1 by the sign of the machine's sum, from the columns of the points."""
+
+    def __init__(self, columns: list[str], waves: tuple[np.ndarray, np.ndarray], at: np.ndarray):
+        super().__init__()
+        self.columns, self.waves, self.coefficients, self.intercept = columns, waves, at[:-1], float(at[-1])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        (w, b), v, c = self.waves, self.coefficients * np.sqrt(2 / len(self.waves[1])), self.intercept
+
+        @F.pandas_udf("double")
+        def side(*points: pd.Series) -> pd.Series:
+            held = np.stack(points, axis=1).astype(float)
+            if np.isnan(held).any():
+                raise ValueError("a point is null or NaN")
+            return pd.Series((np.cos(held @ w.T + b) @ v + c > 0).astype(float))
+
+        return dataset.withColumn("prediction", side(*self.columns))
+
+
 def mlp_classifier(layers: Sequence[int], seed: int = 0, iterations: int = 100, **params) -> MultilayerPerceptronClassifier:
     """Sigmoid hidden units, fitted by L-BFGS."""
     return MultilayerPerceptronClassifier(layers=list(layers), seed=seed, maxIter=iterations, **params)

@@ -170,12 +170,12 @@ def rbf_model(t):
     """Orders inside a ring of price and date, which no line parts, told by Fourier features and a linear machine."""
     a, b = (F.col("o_totalprice") / 100000 - 1.5) * 2, F.pmod(F.col("o_orderkey"), F.lit(100)) / 25 - 2
     rows = t.orders.select(F.col("o_orderkey").cast("string").alias("key"), a.alias("a"), b.alias("b")).withColumn("label", (F.col("a") * F.col("a") + F.col("b") * F.col("b") < 1.5).cast("double"))
-    # The few columns are settled, not the hundred waves made of them.
-    train, test = prep.train_test_split(settle(models.dealt(rows, "key")), "key", 0.2, seed=4)
-    waves = lambda df: models.fourier_features(models.assemble(df, ["a", "b"]), "features", 0.7, 2, 100).select("label", "fourier")
-    train, test = waves(train), waves(test)
-    _, predicted, _ = models.fit_model(models.rbf_svm(train.count()), train, test, "label", classifier=True)
-    return metrics.confusion_matrix(predicted, "label", "prediction")
+    # Distinct points with their counts, and no waves: a pass over the rows makes them anew.
+    train, test = prep.train_test_split(rows, "key", 0.2, seed=4)
+    train = models.packed(models.weighed(train, "label", ["a", "b"]), "label", ["a", "b"])
+    test = models.weighed(test, "label", ["a", "b"])
+    _, predicted, _ = models.fit_model(models.RbfMachine(["a", "b"], 0.7), train, test, "label", classifier=True)
+    return metrics.confusion_matrix(predicted, "label", "prediction", weight="weight")
 
 
 @query()

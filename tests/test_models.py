@@ -239,3 +239,56 @@ def test_fits_of_lines_take_distinct_ones(spark, monkeypatch):
     assert held[0][0] < 0.25 * lines.count() < 0.75 * lines.count() < held[1][0]
     assert held[1][1] >= spark.sparkContext.defaultParallelism and held[1][2] == ["label", "features"]
     assert held[2][1] >= spark.sparkContext.defaultParallelism and held[2][2] == ["label", "fourier"]
+
+
+def test_kernel_machine_on_packs_against_that_on_features(spark, monkeypatch):
+    """The same objective, at least as low; counts stand for repeated rows; a large table's fit, begun on a part, ends on all rows."""
+    circles = io.make_circles(spark, 500, noise=0.35, factor=0.5, seed=1)
+    rows = circles.unionAll(circles.filter("label = 1")).select("X1", "X2", F.col("label").cast("double").alias("label")).persist()
+    packs = models.packed(models.weighed(rows, "label", ["X1", "X2"]), "label", ["X1", "X2"])
+    n = rows.count()
+    waves = models.fourier_features(models.assemble(rows, ["X1", "X2"]), "features", 1.0, 2, 100)
+    held = waves.select("label", vector_to_array("fourier").alias("f")).collect()
+    f, y = np.array([r["f"] for r in held]), np.array([2 * r["label"] - 1 for r in held])
+
+    def value(w, c):
+        return np.maximum(1 - y * (f @ w + c), 0).mean() + w @ w / (2 * n)
+
+    machine = models.RbfMachine(["X1", "X2"], 1.0)
+    model, old = machine.fit(packs), models.rbf_svm(n).fit(waves)
+    assert machine.trace[-1][1] == n
+    reached = value(model.coefficients, model.intercept)
+    assert reached == pytest.approx(min(v for v, _ in machine.trace), abs=1e-5)
+    assert reached <= value(old.coefficients.toArray(), old.intercept) + 1e-4
+    # The slope is that of the value.
+    at, way = np.append(model.coefficients, model.intercept) * 0.9, np.random.default_rng(1).normal(size=101)
+    loss = lambda x: machine._value(packs, x)[1]
+    assert (loss(at + 1e-3 * way) - loss(at - 1e-3 * way)) / 2e-3 == pytest.approx(machine._value(packs, at)[2] @ way, rel=2e-2)
+    said = model.transform(rows).select("X1", "X2", "prediction").collect()
+    w, b = models.fourier_weights(1.0, 2, 100)
+    assert [r["prediction"] for r in said] == [float(np.cos(w @ [r["X1"], r["X2"]] + b) @ model.coefficients * np.sqrt(0.02) + model.intercept > 0) for r in said]
+    monkeypatch.setattr(models, "PACK", 8)
+    small = models.packed(models.weighed(rows, "label", ["X1", "X2"]), "label", ["X1", "X2"])
+    begun = models.RbfMachine(["X1", "X2"], 1.0, first=2)
+    begun.fit(small)
+    seen = [k for _, k in begun.trace]
+    assert seen[0] < n == seen[-1] and min(v for v, k in begun.trace if k == n) <= reached + 2e-3
+    with pytest.raises(Exception, match="null or NaN"):
+        models.packed(rows.selectExpr("label", "X1", "if(X2 > 0, X2, null) as X2", "1.0D as weight"), "label", ["X1", "X2"]).collect()
+
+
+def test_kernel_machine_keeps_no_features(spark, monkeypatch):
+    """What a fit passes over again and again is 24 bytes for each distinct row, not a hundred features of every row."""
+    from sparkworks.plans import learning  # noqa: F401  it registers the queries
+    from sparkworks.plans.registry import QUERIES
+
+    held = []
+
+    def fit(estimator, train, test, *args, **kwargs):
+        held.append(train.selectExpr("sum(octet_length(label) + octet_length(fourier)) as size", "sum(octet_length(label)) / 8 as n").first())
+        return None, test.withColumn("prediction", F.col("label")), None
+
+    monkeypatch.setattr(models, "fit_model", fit)
+    QUERIES["rbf_model"](spark, "/root/testdata/sf0.01").collect()
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    assert held[0]["size"] == 24 * held[0]["n"] and 0.75 * orders < held[0]["n"] < 0.85 * orders
